@@ -17,6 +17,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import edited_fingerprints
+
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_folder
+    from .warc import archive
+
+    return archive(_read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
