@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import edited_fingerprints
 
@@ -30,6 +36,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
