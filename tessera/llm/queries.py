@@ -35,6 +35,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_read(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import edited_fingerprints
 
