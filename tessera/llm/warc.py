@@ -53,9 +53,11 @@ def revisits(pages: DataFrame) -> DataFrame:
     # Rows of repeated payloads only, a few bytes each; a hot digest is a skewed join, which AQE splits.
     again = keyed.join(top.select("sha1", F.col("top.page_id").alias("response")), "sha1")
     again = again.groupBy("page_id", "sha1").agg(F.max("response").alias("response"), F.count("*").alias("rows"), F.min_by("url", F.coalesce("url", F.lit(""))).alias("first_url"))
-    known = again.select(F.col("page_id").alias("of"), F.col("sha1").alias("of_sha1"), "response", "first_url", "rows")
-    out = base.repartition(partitions(pages.sparkSession), "page_id").withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    out = out.join(known, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha1") == F.col("of_sha1")), "left")
+    key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
+    known = again.select(key, "sha1", "response", "first_url", "rows")
+    # Dealt by the keys of the join, which adds no exchange of its own; rows of one page and payload meet.
+    out = base.select("*", key, F.sha1(F.encode("html", "UTF-8")).alias("sha1")).repartition(partitions(pages.sparkSession), "key", "sha1")
+    out = out.join(known, ["key", "sha1"], "left")
     lead = F.col("page_id").eqNullSafe(F.col("response")) & F.col("url").eqNullSafe(F.col("first_url"))
     return out.select("page_id", "url", "html", F.when(F.col("rows").isNotNull() & ~lead, F.col("response")).alias("refers_to"), (F.col("rows").isNotNull() & lead & (F.col("rows") > 1)).alias("tied"))
 
