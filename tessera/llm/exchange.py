@@ -64,8 +64,9 @@ def _narrow(x: np.ndarray) -> tuple[bytes, int]:
     return x.astype("<u2" if small else "<u4").tobytes(), 2 if small else 4
 
 
-def message(ids: np.ndarray, tag: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, size: np.ndarray | None = None) -> bytes:
-    """Entries (doc: index into ids, not falling; at: rising within a document) as bytes."""
+def message(ids: np.ndarray, tag: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, size: np.ndarray | None = None, extra: np.ndarray | None = None) -> bytes:
+    """Entries (doc: index into ids, not falling; at: rising within a document) as bytes;
+    ``extra``: some bytes of each entry, as a matrix."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     step = np.diff(at, prepend=0)
     step[first] = at[first]
@@ -75,13 +76,31 @@ def message(ids: np.ndarray, tag: np.ndarray, doc: np.ndarray, at: np.ndarray, h
     sizes, size_width = (b"", 0) if size is None else _narrow(size)
     packed = _squeeze(table + steps + sizes)
     raw = b"" if hashes is None else np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-    return _HEAD.pack(len(doc), len(first), len(packed), width | size_width << 8) + packed + raw
+    extra_width = 0 if extra is None else extra.shape[1]
+    return _HEAD.pack(len(doc), len(first), len(packed), width | size_width << 8 | extra_width << 16) + packed + raw + (b"" if extra is None else extra.tobytes())
+
+
+def extra_of(raw: bytes) -> np.ndarray:
+    """The extra bytes of each entry of a message."""
+    n, _, _, widths = _HEAD.unpack_from(raw)
+    width = widths >> 16
+    return np.frombuffer(raw, np.uint8, n * width, len(raw) - n * width).reshape(n, width)
+
+
+def low_bytes(h: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def from_bytes(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    return wide.view("<u8").ravel()
 
 
 def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
     """id, tag, at, hash and size of each entry of a message."""
     n, docs, length, widths = _HEAD.unpack_from(raw)
-    width, size_width = widths & 255, widths >> 8
+    width, size_width, extra_width = widths & 255, widths >> 8 & 255, widths >> 16
     body = _expand(raw[_HEAD.size : _HEAD.size + length])
     ids = np.cumsum(np.frombuffer(body, "<i8", docs))
     tag = np.frombuffer(body, "<u4", docs, 8 * docs)
@@ -91,7 +110,7 @@ def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray |
     total = np.cumsum(step)
     at = total - np.repeat(total[first] - step[first], counts)
     size = np.frombuffer(body, f"<u{size_width}", n, 16 * docs + width * n).astype(np.int64) if size_width else None
-    rest = raw[_HEAD.size + length :]
+    rest = raw[_HEAD.size + length : len(raw) - n * extra_width]
     hashes = None
     if rest:
         wide = np.zeros((n, 8), np.uint8)
@@ -107,6 +126,8 @@ def home(ids: np.ndarray, homes: int) -> np.ndarray:
 
 def split_by(key: np.ndarray):
     """Values of ``key``, each with the indices that have it, in their order."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     cuts = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(key) else np.zeros(0, np.int64)

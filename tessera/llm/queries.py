@@ -41,6 +41,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated
+
+    return remove_repeated(_read(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import edited_fingerprints
 
