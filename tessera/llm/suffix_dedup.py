@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import TextBlock, groups_of, mix, partitions, runs
+from .common import TextBlock, cut_lineage, groups_of, mix, partitions, runs
 from .gsaca import suffix_arrays
 
 #: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes.
@@ -281,7 +281,7 @@ def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
     found_schema = "home long, kind int, payload binary"
     texts = ex.texts_home(base, homes, twice).groupBy("home")
     first = base.mapInArrow(anchored, "bucket long, payload binary").groupBy("bucket").applyInArrow(met, found_schema)
-    first = first.repartition(partitions(spark), "home")  # read twice from one exchange
+    first = cut_lineage(first)  # read twice
     asked = first.where("kind = 2").groupBy("home")
     second = texts.cogroup(asked).applyInArrow(sent, "bucket long, payload binary").groupBy("bucket").applyInArrow(settled, found_schema)
     return texts.cogroup(first.where("kind = 1").unionByName(second).groupBy("home")).applyInArrow(removed, _OUT)
