@@ -22,7 +22,7 @@ from .components import components, local_forest
 
 MOST_BITS = 3
 #: Cells of up to so many rows are compared pair by pair in one array operation.
-_SMALL_CELL = 64
+_SMALL_CELL = 32
 _NULL_ID = (1 << 63) - 1
 _PAIR_MASK = np.uint64(0x5555555555555555)
 
@@ -157,7 +157,7 @@ def _links(cell: np.ndarray, own: np.ndarray, fp: np.ndarray, node: np.ndarray)
     return local_forest(a[a != b], b[a != b])
 
 
-def _in_cell_links(batches, rows: int = 200_000):
+def _in_cell_links(batches, rows: int = 20_000):
     """Links of the cells of a sorted partition, some whole cells at a time."""
     held: list[tuple] = []
 
