@@ -15,8 +15,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman") -> DataFrame:
     """(…keys, out): correlation of the average ranks; null for fewer than two rows or a constant."""
     r = average_ranks(average_ranks(df, keys, x, "rx"), keys, y, "ry")
-    spread = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return r.groupBy(*keys).agg(F.when(spread, F.corr("rx", "ry")).alias(out))
+    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias(out))
 
 
 def gini(df: DataFrame, keys: list[str], value: str, out: str = "gini") -> DataFrame:

@@ -12,8 +12,8 @@ def selected_groups(stored: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, g): stored groups of videos whose grid (t, gh, gw) is the stored one, in range, once each.
     Videos that get none here are to be kept dense."""
     same = stored.join(videos, ["video_id", "t", "gh", "gw"])
-    g = F.explode("groups").cast("long")
-    return same.select("video_id", g.alias("g"), (F.col("t") * F.col("gh") * F.col("gw")).alias("n")).where("g >= 0 and g < n").select("video_id", "g").distinct()
+    rows = same.select("video_id", F.explode(F.col("groups").cast("array<bigint>")).alias("g"), (F.col("t") * F.col("gh") * F.col("gw")).alias("n"))
+    return rows.where("g >= 0 and g < n").select("video_id", "g").distinct()
 
 
 def with_coverage(groups: DataFrame, videos: DataFrame) -> DataFrame:

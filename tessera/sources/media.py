@@ -24,7 +24,7 @@ def sampled_frames(videos: DataFrame, fps: float = 2, least: int = 4, most: int
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(path, ord, start_ms, end_ms, text) of SubRip files, one row per cue."""
-    cues = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\s*\n")).alias("ord", "cue"))
+    cues = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\s*\n")).alias("ord", "cue"))
     stamp = r"(\d+):(\d+):(\d+)[,.](\d+)"
     part = lambda i: F.regexp_extract("cue", rf"{stamp}\s*-->\s*{stamp}", i).cast("long")
     ms = lambda o: ((part(o) * 60 + part(o + 1)) * 60 + part(o + 2)) * 1000 + part(o + 3)

@@ -6,16 +6,16 @@ import io
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-QUESTION = T.StructType.fromDDL(
+#: Schemas as DDL, which needs no session.
+QUESTION = (
     "question_id string, videoID string, duration string, domain string, sub_category string, task_type string, question string, options array<string>, answer string"
 )
-PREDICTION = T.StructType.fromDDL(
+PREDICTION = (
     "question_id string, annotation struct<question:string,choices:map<string,string>,answer:string,domain:string,category:string,duration:string,sub_category:string,task_category:string,task_type:string>, result struct<gen:string,gen_raw:string>"
 )
-SELECTION = T.StructType.fromDDL("question_id string, method string, drop_ratio double, dense_token_count int, keep_indices array<int>, drop_indices array<int>, grid_thw array<int>")
-GUIDE = T.StructType.fromDDL("sample_id string, video string, t long, gh long, gw long, groups array<long>")
+SELECTION = "question_id string, method string, drop_ratio double, dense_token_count int, keep_indices array<int>, drop_indices array<int>, grid_thw array<int>"
+GUIDE = "sample_id string, video string, t long, gh long, gw long, groups array<long>"
 DURATIONS = ("short", "medium", "long")
 
 
