@@ -14,19 +14,19 @@ from tessera.streaming import windows
 
 from .base import out, query, r, scored_tokens, sql, table, tokens
 
-_ATTN = """, first8 AS (SELECT video_id AS question_id, pos, u FROM units WHERE pos < 8),
-    attn AS (SELECT question_id, q, k, e / sum(e) OVER (PARTITION BY question_id, q) AS a FROM (SELECT a.question_id, a.pos AS q, b.pos AS k, exp(list_dot_product(a.u, b.u)) AS e FROM first8 a JOIN first8 b ON a.question_id = b.question_id AND b.pos <= a.pos)),
-    paths AS (SELECT DISTINCT question_id, pos, 0.5::DOUBLE AS w FROM first8 WHERE pos IN (6, 7) UNION ALL SELECT p.question_id, k, w * a FROM paths p JOIN attn ON attn.question_id = p.question_id AND q = p.pos AND k < q),
-    reach AS (SELECT question_id, pos, sum(w) AS h FROM paths GROUP BY ALL)"""
+#: Every eight tokens of a video are a sequence; its last two are the targets, the others visual.
+_ATTN = """, seqs AS (SELECT video_id * 1000000 + pos // 8 AS question_id, pos % 8 AS pos, u, count(*) OVER (PARTITION BY video_id, pos // 8) AS n FROM units),
+    attn AS (SELECT question_id, q, k, n, e / sum(e) OVER (PARTITION BY question_id, q) AS a FROM (SELECT a.question_id, a.pos AS q, b.pos AS k, a.n, exp(list_dot_product(a.u, b.u)) AS e FROM seqs a JOIN seqs b ON a.question_id = b.question_id AND b.pos <= a.pos)),
+    paths AS (SELECT question_id, pos, n, 0.5::DOUBLE AS w FROM seqs WHERE pos >= n - 2 UNION ALL SELECT p.question_id, k, p.n, w * a FROM paths p JOIN attn ON attn.question_id = p.question_id AND q = p.pos AND k < q),
+    reach AS (SELECT question_id, pos, any_value(n) AS n, sum(w) AS h FROM paths GROUP BY question_id, pos)"""
 
 
 def _attention(spark, d):
-    x = tokens(spark, d).where("pos < 8").select(F.col("video_id").alias("question_id"), F.lit(0).cast("long").alias("head"), "pos", V.normalised("vec").alias("q")).withColumn("k", F.col("q"))
-    a = similarity.causal_attention(x, 1.0)
-    ids = x.select("question_id").distinct()
-    targets = ids.withColumn("target", F.explode(F.array(F.lit(6).cast("long"), F.lit(7).cast("long"))))
-    visual = ids.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    return a, targets, visual
+    x = tokens(spark, d).select((F.col("video_id") * 1_000_000 + F.floor(F.col("pos") / 8)).alias("question_id"), F.lit(0).cast("long").alias("head"), (F.col("pos") % 8).alias("pos"), V.normalised("vec").alias("q"))
+    x = ranking.with_total(x, ["question_id"], "n").withColumn("k", F.col("q"))
+    a = similarity.causal_attention(x.drop("n"), 1.0)
+    targets = x.where("pos >= n - 2").select("question_id", F.col("pos").alias("target"))
+    return a, targets, x.where("pos < n - 2").select("question_id", "pos")
 
 
 @query(sql("tokens units", f"{_ATTN} SELECT question_id, q, k, {r('a')} FROM attn"))
@@ -40,13 +40,13 @@ def flow_reachability(spark, d):
     return out(flow.reachability(a, targets), "question_id", "pos", rounded=("h",))
 
 
-@query(sql("tokens units", f"{_ATTN} SELECT question_id, pos, {r('h / sum(h) OVER (PARTITION BY question_id)', 'responsibility')} FROM reach WHERE pos <= 4"))
+@query(sql("tokens units", f"{_ATTN} SELECT question_id, pos, {r('h / sum(h) OVER (PARTITION BY question_id)', 'responsibility')} FROM reach WHERE pos < n - 2"))
 def responsibility(spark, d):
     a, targets, visual = _attention(spark, d)
     return out(flow.responsibility(flow.reachability(a, targets), visual), "question_id", "pos", rounded=("responsibility",))
 
 
-@query(sql("tokens units", f"{_ATTN} SELECT question_id, pos, {r('m / sum(m) OVER (PARTITION BY question_id)', 'direct')} FROM (SELECT question_id, k AS pos, sum(a) / 2 AS m FROM attn WHERE q IN (6, 7) AND k <= 4 GROUP BY ALL)"))
+@query(sql("tokens units", f"{_ATTN} SELECT question_id, pos, {r('m / sum(m) OVER (PARTITION BY question_id)', 'direct')} FROM (SELECT question_id, k AS pos, sum(a) / 2 AS m FROM attn WHERE q >= n - 2 AND k < n - 2 GROUP BY question_id, k)"))
 def direct_attention(spark, d):
     return out(flow.direct_attention(*_attention(spark, d)), "question_id", "pos", rounded=("direct",))
 
@@ -112,9 +112,6 @@ def overlap_summary(spark, d):
     return out(overlap.summary(_overlap(spark, d), ["a_count"]), "a_count", "rows", "unique_questions", rounded=("mean_iou", "mean_enrichment"))
 
 
-_SAMPLES = "SELECT user_id, event_type, event_id % 3 AS repeat, value FROM events"
-
-
 @query(f"SELECT event_type, count(*) AS n, {r('avg(v)', 'mean')} FROM (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL) GROUP BY event_type")
 def two_level_mean(spark, d):
     return out(summaries.two_level_mean(table(spark, d, "events"), ["user_id", "event_type"], ["event_type"], "value"), "event_type", "n", rounded=("mean",))
@@ -224,11 +221,9 @@ def subtitle_text(spark, d):
     return media.subtitle_text(_cues(spark, d))
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events WHERE user_id % 2 = 0) WHERE p % 4 = 1 AND p >= 1 + 10 * 4 AND p < 1 + 110 * 4")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE p % 4 = 1 AND p >= 1 + 10 * 4 AND p < 1 + 110 * 4")
 def shard_filter(spark, d):
-    e = table(spark, d, "events")
-    even = e.where("user_id % 2 = 0").select("event_id")
-    return filters.samples(e.select("event_id"), "event_id", ids=even, id_column="event_id", shards=4, shard=1, offset=10, limit=100)
+    return filters.samples(table(spark, d, "documents").select("doc_id"), "doc_id", ids=table(spark, d, "labels").select("doc_id"), id_column="doc_id", shards=4, shard=1, offset=10, limit=100)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -423,21 +423,22 @@ def vflow_summary(spark, d):
 
 def _groups(spark, d):
     t = tokens(spark, d)
-    videos = _videos(t, 6, 2, 2).withColumnsRenamed({"h": "gh", "w": "gw"})
-    return t.where("vec[0] > 0.15 and pos < 24").select("video_id", F.col("pos").alias("g")), videos
+    two = F.lit(2).cast("long")
+    videos = t.groupBy("video_id").agg((F.max("frame") + 1).alias("t")).withColumns({"gh": two, "gw": two})
+    return t.where("vec[0] > 0.15").select("video_id", F.col("pos").alias("g")), videos
 
 
-@query(sql("tokens", "SELECT DISTINCT video_id, g FROM (SELECT video_id, pos AS g FROM tokens WHERE vec[1] > 0.15 AND pos < 24 UNION ALL SELECT video_id, 4 * f FROM (SELECT DISTINCT video_id FROM tokens), (SELECT unnest(range(6)) AS f) WHERE (video_id, f) NOT IN (SELECT video_id, pos // 4 FROM tokens WHERE vec[1] > 0.15 AND pos < 24))"))
+@query(sql("tokens", "SELECT video_id, pos AS g FROM tokens WHERE vec[1] > 0.15 UNION SELECT DISTINCT video_id, 4 * frame FROM tokens WHERE (video_id, frame) NOT IN (SELECT video_id, pos // 4 FROM tokens WHERE vec[1] > 0.15)"))
 def codec_coverage(spark, d):
     return codec.with_coverage(*_groups(spark, d))
 
 
-@query(sql("tokens", "SELECT video_id, f AS frame, count(pos) AS n FROM (SELECT DISTINCT video_id FROM tokens) CROSS JOIN (SELECT unnest(range(6)) AS f) LEFT JOIN (SELECT video_id, pos, pos // 4 AS f FROM tokens WHERE vec[1] > 0.15 AND pos < 24) USING (video_id, f) GROUP BY ALL"))
+@query(sql("tokens", "SELECT video_id, frame, count(*) FILTER (vec[1] > 0.15) AS n FROM tokens GROUP BY ALL"))
 def codec_counts_per_frame(spark, d):
     return codec.counts_per_frame(*_groups(spark, d))
 
 
-@query(sql("tokens", "SELECT video_id, g, (g // 4) * 16 + (g % 4) * 4 + k AS patch FROM (SELECT video_id, pos AS g FROM tokens WHERE vec[1] > 0.15 AND pos < 24), (SELECT unnest(range(4)) AS k)"))
+@query(sql("tokens", "SELECT video_id, g, (g // 4) * 16 + (g % 4) * 4 + k AS patch FROM (SELECT video_id, pos AS g FROM tokens WHERE vec[1] > 0.15), (SELECT unnest(range(4)) AS k)"))
 def codec_patches(spark, d):
     g, videos = _groups(spark, d)
     x = g.join(videos, "video_id").withColumn("m", F.lit(2).cast("long"))
