@@ -53,3 +53,10 @@ def dense_grid(videos: DataFrame, t: str = "t", h: str = "h", w: str = "w") -> D
 def local_mrope(videos: DataFrame) -> DataFrame:
     """Dense positions (t, h, w, width) of each token of a video's grid."""
     return dense_grid(videos).select("video_id", "flat", F.col("frame").alias("pos_t"), F.col("y").alias("pos_h"), F.col("x").alias("pos_w"), F.col("w").cast("long").alias("width"))
+
+
+def token_positions(sequences: DataFrame, token: int, ids: str = "ids") -> DataFrame:
+    """(…, seq_pos, nth) of each occurrence of a token id in a sequence column."""
+    rest = [c for c in sequences.columns if c != ids]
+    at = F.filter(F.transform(ids, lambda x, i: F.when(x == token, i)), lambda i: i.isNotNull())
+    return sequences.select(*rest, F.posexplode(at).alias("nth", "seq_pos")).select(*rest, F.col("seq_pos").cast("long").alias("seq_pos"), F.col("nth").cast("long").alias("nth"))

@@ -122,3 +122,11 @@ def valid_labels(choices: Column) -> Column:
     """Sorted letters of the choices, or A to E without any."""
     keys = F.array_sort(F.map_keys(choices))
     return F.when(F.size(keys) > 0, keys).otherwise(F.array(*map(F.lit, LABELS)))
+
+
+def judge_prompt(question: Column, choices: Column, prediction: Column) -> Column:
+    """A request to match a free answer with one option letter, Z for none."""
+    return F.concat(
+        F.lit("Match the answer below with the closest option of the question. Reply with the option's letter alone, or Z if no option fits.\nQuestion: "),
+        question, F.lit("\n"), options_text(choices), F.lit("Answer: "), prediction, F.lit("\nLetter: "),
+    )

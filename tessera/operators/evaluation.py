@@ -31,3 +31,8 @@ def accuracy(rows: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
         level = F.when(F.grouping(g) == 0, F.lit(g)).otherwise(level)
     out = rows.groupingSets(sets, *(F.col(g) for g in groups)).agg(level.alias("level"), F.count("*").alias("n"), F.avg("hit").alias("accuracy"))
     return out.select("level", F.coalesce(*(F.col(g).cast("string") for g in groups), F.lit("")).alias("value"), "n", "accuracy")
+
+
+def throughput(seconds: float, samples: int) -> dict[str, float | None]:
+    """Total seconds, seconds a sample, samples a second; null where there is nothing to divide by."""
+    return {"total_s": seconds, "s_per_sample": seconds / samples if samples else None, "samples_per_s": samples / seconds if seconds > 0 else None}

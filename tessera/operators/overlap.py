@@ -40,3 +40,18 @@ def summary(records: DataFrame, keys: list[str]) -> DataFrame:
 def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Combinations that were expected but not found."""
     return expected.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti")
+
+
+def reference_set(scores: DataFrame, stored: DataFrame, ratio: float, condition: str = "top", half_up: bool = False) -> DataFrame:
+    """(video_id, pos): the stored set of a video, else one recomputed from the scores.
+
+    Rounding is half to even, or ``half_up`` as in the ranked sets.
+    """
+    from tessera.functions import budgets
+
+    from . import ranking
+
+    fresh = scores.join(stored.select("video_id").distinct(), "video_id", "left_anti")
+    k = (budgets.half_up if half_up else budgets.half_even)(F.col("total"), ratio)
+    got = ranking.top_k(ranking.with_total(fresh, ["video_id"]), ["video_id"], F.col("score"), k, largest=condition == "top")
+    return stored.select("video_id", "pos").unionByName(got.select("video_id", "pos"))

@@ -164,3 +164,14 @@ def curvature(tokens: DataFrame, dim: int) -> DataFrame:
 def group_means(rows: DataFrame, unit: int, dim: int, keys: list[str]) -> DataFrame:
     """Mean vector of each ``unit`` consecutive rows by ``flat``."""
     return rows.withColumn("merged", F.floor(F.col("flat") / unit).cast("long")).groupBy(*keys, "merged").agg(V.mean("vec", dim).alias("vec"))
+
+
+def query_rows(query_tokens: DataFrame, videos: DataFrame) -> DataFrame:
+    """Query tokens for each video: its own, or those without a video (null id), which serve all the others."""
+    own = query_tokens.where("video_id is not null")
+    shared = query_tokens.where("video_id is null").drop("video_id")
+    lacking = videos.select("video_id").distinct().join(own.select("video_id").distinct(), "video_id", "left_anti")
+    # Grouped into one row first, so each video meets one row whatever the number of tokens.
+    packed = shared.agg(F.collect_list(F.struct(*shared.columns)).alias("rows"))
+    given = lacking.crossJoin(F.broadcast(packed)).select("video_id", F.explode("rows").alias("r")).select("video_id", "r.*")
+    return own.unionByName(given.select(*own.columns))
