@@ -179,7 +179,8 @@ def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
         raise ValueError(f"anchors are laid out for strings of {ANCHORS[-1]} bytes")
     spark = docs.sparkSession
     base, twice = ex.prepared(docs)
-    buckets = homes = 2 * partitions(spark)
+    # A task sends a message for each home or bucket that it has something for: their number is that of the partitions, squared.
+    buckets = homes = partitions(spark)
 
     def anchored(batches):
         for batch in runs(batches):
