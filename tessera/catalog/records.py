@@ -63,7 +63,7 @@ def layer_matrix_summary(spark, d):
 
 
 _NUMBERED = "SELECT l_returnflag AS g, l_orderkey * 10 + l_linenumber AS i, l_extendedprice AS v, epoch(l_shipdate)::BIGINT AS t FROM lineitem"
-_RANKS = f"SELECT g, v, i, t, rank() OVER (PARTITION BY g ORDER BY v) - 1 + (count(*) OVER (PARTITION BY g, v) - 1) / 2 AS rv, rank() OVER (PARTITION BY g ORDER BY i) - 1 AS ri, rank() OVER (PARTITION BY g ORDER BY t) - 1 + (count(*) OVER (PARTITION BY g, t) - 1) / 2 AS rt FROM ({_NUMBERED})"
+_RANKS = f"SELECT g, v, i, t, rank() OVER (PARTITION BY g ORDER BY v) - 1 + (count(*) OVER (PARTITION BY g, v) - 1) / 2 AS rv, rank() OVER (PARTITION BY g ORDER BY i) - 1 + (count(*) OVER (PARTITION BY g, i) - 1) / 2 AS ri, rank() OVER (PARTITION BY g ORDER BY t) - 1 + (count(*) OVER (PARTITION BY g, t) - 1) / 2 AS rt FROM ({_NUMBERED})"
 
 
 def _numbered(spark, d):
