@@ -25,8 +25,13 @@ def norm(a) -> Column:
 
 
 def normalised(a, eps: float = EPS) -> Column:
-    """The vector over its norm, or over ``eps`` where that is larger."""
-    return F.transform(_c(a), lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """The vector over its norm, or over ``eps`` where that is larger.
+
+    The divisor is bound as a variable of an outer lambda; written inside the
+    inner one it would be evaluated again for each element.
+    """
+    by = F.array(F.greatest(norm(a), F.lit(eps)))
+    return F.element_at(F.transform(by, lambda n: F.transform(_c(a), lambda x: x / n)), 1)
 
 
 def scaled(a, by) -> Column:
