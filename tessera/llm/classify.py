@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import TextBlock, block_of, groups_of, mix, runs, text_or_empty
 
 #: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 word, 2 other
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 for _span in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
@@ -127,7 +127,7 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, twins: list[list[tuple[np.
         return at[np.isin(keys[at], x)] if len(at) else at
 
     bias = len(keys)
-    cols = [np.append(np.unique(known(x)), bias) for x in rows]
+    cols = [np.append(np.unique(known(x)), bias).astype(np.int32) for x in rows]
     model = Leader(bias + 1, l1=l1)
     order = np.random.Generator(np.random.PCG64(7))
     # The rarer label counts for as much as the other, up to four times over.

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut_lineage, mix, rolling, text_or_empty
+from .common import cut_lineage, mix, rolling, runs, text_or_empty
 
 #: Letters, digits and white space below this code point are classified here;
 #: texts with others take the library's own (slower) path.
 FAST_BELOW = 0x0590
 #: Words whose ids are remembered by a worker.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 _SPACES = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0}
 
 
@@ -157,28 +157,26 @@ def tokeniser(path: str) -> Tokeniser:
     return Tokeniser(path)
 
 
-def token_table(docs: DataFrame, path: str, end_id: int = 0, rows: int = 1000) -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """One row per document: ids (little-endian unsigned 32-bit) with ``end_id`` appended,
     their number, and where they start among the ids of the same input partition."""
 
     def encode(batches):
         t, part, at = tokeniser(path), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], np.uint32)
-        for big in batches:
-            for k in range(0, big.num_rows, rows):
-                batch = big.slice(k, rows)
-                ids = [np.append(x, tail) for x in t.encode(batch.column("text").to_pylist())]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                small = max(int(x.max()) for x in ids) < 1 << 16
-                blobs = [x.astype("<u2" if small else "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(n), pa.array(blobs, pa.binary())],
-                    ["doc_id", "part", "part_start", "n", "ids"],
-                )
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(encode, "doc_id long, part int, part_start long, n long, ids binary")
+        for batch in runs(batches):
+            ids = [np.append(x, tail) for x in t.encode(batch.column("text").to_pylist())]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            starts = at + np.cumsum(n) - n
+            at += int(n.sum())
+            small = max(int(x.max()) for x in ids) < 1 << 16
+            blobs = [x.astype("<u2" if small else "<u4").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(n), pa.array(blobs, pa.binary())],
+                ["doc_id", "part", "part_start", "n", "ids"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(encode, "doc_id long, part int, part_start long, n long, ids binary")
 
 
 def cut(tokens: DataFrame, length: int) -> DataFrame:
