@@ -34,13 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     Where ``spark.checkpoint.dir`` is unset (tests, local runs), a temporary
     folder is set once for the session.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
+    path, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return path or sc.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
