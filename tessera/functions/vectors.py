@@ -54,12 +54,12 @@ def cosine(a, b, eps: float = EPS) -> Column:
 def mean(vec: str, dim: int) -> Column:
     """Aggregate: the mean vector.  One average per dimension, so partial
     aggregation sends one row per group and task and nothing is exploded."""
-    return F.array(*(F.avg(F.col(vec)[i]) for i in range(dim)))
+    return F.expr("array(" + ", ".join(f"avg(`{vec}`[{i}])" for i in range(dim)) + ")")
 
 
 def weighted_sum(vec: str, weight: str, dim: int) -> Column:
     """Aggregate: the sum of vectors times their weights."""
-    return F.array(*(F.sum(F.col(vec)[i] * F.col(weight)) for i in range(dim)))
+    return F.expr("array(" + ", ".join(f"sum(`{vec}`[{i}] * `{weight}`)" for i in range(dim)) + ")")
 
 
 def rounded(x, places: int = 6) -> Column:
