@@ -10,7 +10,8 @@
 3. The segments of an anchor are joined, with separators, and suffix-sorted by
    linear grouping; suffixes whose first ``width`` bytes are equal are neighbours
    in that order, and the smallest doc_id of each such run keeps them.
-   Anchors with much text are dealt again by longer anchors first.
+   Anchors with much text are dealt again by longer anchors first; those of a
+   passage amid very many different neighbours by longer ones over more tasks.
 4. What was found goes back to the texts, where removed windows merge.
 """
 
@@ -31,8 +32,11 @@ from .gsaca import suffix_arrays
 #: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes.
 ANCHORS = (24, 36, 44, 48, 50)
 _JOINED = 2048
+#: Anchors with over so many different segments are dealt by the longer anchors of _HOT_LEVEL, so that they meet in many tasks.
+_HOT, _HOT_LEVEL = 500, 2
 #: Bytes that are suffix-sorted at once.
 _BATCH = 1 << 20
+_SALT = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 28) - 1)
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -100,7 +104,7 @@ def smallest_holders(block: TextBlock, group: np.ndarray, holder: np.ndarray, wi
         texts = np.flatnonzero(np.repeat(large, many))
         sub = _gather(block, block.offsets[texts], sizes[texts])
         doc, at, n, key, content = segments(sub, ANCHORS[level + 1], width)
-        g = mix(group[texts[doc]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key)
+        g = mix(group[texts[doc]].astype(np.uint64) * np.uint64(_SALT) + key)
         order = np.lexsort((holder[texts[doc]], content, g))
         doc, at, n, g, content = doc[order], at[order], n[order], g[order], content[order]
         new = _new(g, content)
@@ -166,7 +170,18 @@ def _to_homes(ids, tag, at, n, homes: int, extra: np.ndarray | None = None) -> l
     return [(where, ex.message(ids[new], tag[new], doc[r], at[r], None, n[r], None if extra is None else extra[r])) for where, r in ex.split_by(ex.home(ids, homes))]
 
 
-def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
+def _packed(buckets: int, key, ids, tag, at, n, data: TextBlock, send: np.ndarray, width: int) -> list[tuple[int, bytes]]:
+    """Segments with their bytes, by the bucket of their anchor."""
+    send = np.flatnonzero(send)
+    out = []
+    for bucket, r in ex.split_by((key[send] % np.uint64(buckets)).astype(np.uint32)):
+        r = send[r]
+        head = struct.pack("<I", len(r)) + b"".join(x[r].astype("<i8").tobytes() for x in (ids, tag, at, n, key))
+        out.append((bucket, ex._squeeze(head + _gather(data, data.offsets[r], n[r] + width - 1).data.tobytes())))
+    return out
+
+
+def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFrame:
     """Remove each byte covered by a string of ``width`` bytes that also starts
     in a document with a smaller doc_id; strings are judged on the input.
 
@@ -216,9 +231,10 @@ def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
         copy = ids != ids[lead]
         out = [(where, 1, p) for where, p in _to_homes(ids[copy], tag[copy], at[copy], n[copy], homes)]
         anchor = np.cumsum(_new(key)) - 1
-        unlike = np.bincount(anchor, new)[anchor] > 1
-        ask = unlike & ~copy
-        out += [(where, 2, p) for where, p in _to_homes(ids[ask], tag[ask], at[ask], n[ask], homes, ex.low_bytes(key[ask], 6))]
+        unlike = np.bincount(anchor, new)[anchor]
+        ask = (unlike > 1) & ~copy
+        extra = np.hstack([ex.low_bytes(key[ask], 6), (unlike[ask] > hot).astype(np.uint8)[:, None]])
+        out += [(where, 2, p) for where, p in _to_homes(ids[ask], tag[ask], at[ask], n[ask], homes, extra)]
         return _table(out, *_FOUND)
 
     def sent(texts: pa.Table, asked: pa.Table) -> pa.Table:
@@ -227,9 +243,10 @@ def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
             return _table([], ("bucket", pa.int64()), ("payload", pa.binary()))
         payloads = asked.column("payload").to_pylist()
         ids, tag, at, n = (np.concatenate(x) for x in zip(*((i, t, a, s) for i, t, a, _, s in map(ex.opened, payloads)), strict=True))
-        key = ex.from_bytes(np.concatenate([ex.extra_of(p) for p in payloads]))
+        extra = np.concatenate([ex.extra_of(p) for p in payloads])
+        key, is_hot = ex.from_bytes(extra[:, :6]), extra[:, 6] > 0
         done = np.zeros(len(ids), bool)
-        out = []
+        out, held = [], []
         for payload in texts.column("payload"):
             text_ids, text_tags, block = ex.open_texts(payload.as_py())
             row, want = ex.lookup(text_ids, text_tags, ids, tag)
@@ -237,15 +254,32 @@ def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
             row = row[one]
             row, want = row[~done[want]], want[~done[want]]
             done[want] = True
-            for bucket, r in ex.split_by((key[want] % np.uint64(buckets)).astype(np.uint32)):
-                w = want[r]
-                data = _gather(block, block.offsets[row[r]] + at[w], n[w] + width - 1).data
-                head = struct.pack("<I", len(w)) + b"".join(x.astype("<i8").tobytes() for x in (ids[w], tag[w], at[w], n[w], key[w]))
-                out.append((bucket, ex._squeeze(head + data.tobytes())))
+            data = _gather(block, block.offsets[row] + at[want], n[want] + width - 1)
+            plain = ~is_hot[want]
+            out += _packed(buckets, key[want], ids[want], tag[want], at[want], n[want], data, plain, width)
+            if not plain.all():
+                # Copies of the parts within this task are settled here, so a part is sent on once.
+                w, part = want[~plain], _gather(data, data.offsets[:-1][~plain], np.diff(data.offsets)[~plain])
+                doc, first, windows, k2, content = segments(part, ANCHORS[_HOT_LEVEL], width)
+                k2 = mix(key[w[doc]] * np.uint64(_SALT) + k2) & np.uint64((1 << 48) - 1)
+                held.append((ids[w[doc]], tag[w[doc]], at[w[doc]] + first, windows, k2, content, _gather(part, part.offsets[doc] + first, windows + width - 1)))
+        if held:
+            i2, t2, a2, n2, k2, c2 = (np.concatenate([h[j] for h in held]) for j in range(6))
+            data = TextBlock(np.concatenate([h[6].data for h in held]), np.concatenate([[0], np.cumsum(n2 + width - 1)]))
+            order = np.lexsort((i2, c2, k2))
+            new = _new(k2[order], c2[order])
+            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            copy = np.zeros(len(order), bool)
+            copy[order] = i2[order] != i2[lead]
+            out += [(buckets + where, p) for where, p in _to_homes(i2[copy], t2[copy].astype(np.uint32), a2[copy], n2[copy], homes)]
+            out += _packed(buckets, k2, i2, t2, a2, n2, data, ~copy, width)
         return _table(out, ("bucket", pa.int64()), ("payload", pa.binary()))
 
     def settled(table: pa.Table) -> pa.Table:
         """What to remove of the segments whose anchor has several."""
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= buckets:
+            return _table([(bucket - buckets, 1, p) for p in table.column("payload").to_pylist()], *_FOUND)
         fields, data = [], []
         for payload in table.column("payload"):
             body = ex._expand(payload.as_py())

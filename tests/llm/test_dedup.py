@@ -117,8 +117,9 @@ def test_many_contexts_of_one_passage(spark):
     noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(70))
     rows = [(i, noise() + "the very same forty bytes of text in all!" + noise()[: rng.randrange(70)] + "tail of some length here ok") for i in range(150)]
     rows += [(1000 + i, t[10:]) for i, t in rows[:40]]
-    got = {r.doc_id: tuple(r)[1:] for r in remove_repeated(frame(spark, rows)).collect()}
-    assert got == brute_bytes(rows)
+    for hot in (500, 5, 1):
+        got = {r.doc_id: tuple(r)[1:] for r in remove_repeated(frame(spark, rows), hot=hot).collect()}
+        assert got == brute_bytes(rows)
 
 
 def test_suffix_arrays():
