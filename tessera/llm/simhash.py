@@ -214,12 +214,12 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Of rows that share it and its fingerprint the first by text is kept.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
-    lost = prints.join(roots(prints), "fp").where("doc_id != component_id or fp != lead_fp").select("doc_id", "fp").distinct()
-    twice = prints.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("fp").alias("fps")).where("n > 1")
+    # One row of each component; the rows of a hot fingerprint meet nowhere.
+    best = roots(prints).where("fp = lead_fp").select(F.col("component_id").alias("tessera_best"), F.col("lead_fp").alias("tessera_lead")).distinct()
+    twice = prints.groupBy("doc_id").count().where("count > 1")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
     if not twice.limit(1).count():
-        gone = lost.select(F.col("doc_id").alias("lost_id"))
-        return docs.join(gone, key == gone.lost_id, "left_anti")
+        return docs.join(best, key == best.tessera_best, "left_semi")
 
     def mark(batches):
         for batch in runs(batches):
@@ -230,7 +230,6 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     schema = StructType([*docs.schema.fields]).add("tessera_fp", LongType())
     marked = docs.mapInArrow(mark, schema).withColumn("tessera_id", key)
-    gone = lost.select(F.col("doc_id").alias("lost_id"), F.col("fp").alias("lost_fp"))
-    left = marked.join(gone, (F.col("tessera_id") == F.col("lost_id")) & (F.col("tessera_fp") == F.col("lost_fp")), "left_anti")
+    left = marked.join(best, (F.col("tessera_id") == F.col("tessera_best")) & (F.col("tessera_fp") == F.col("tessera_lead")), "left_semi")
     first = F.row_number().over(Window.partitionBy("tessera_id", "tessera_fp").orderBy("text"))
     return left.withColumn("tessera_n", first).where("tessera_n = 1").select(*docs.columns)
