@@ -23,7 +23,7 @@ from .components import components, local_forest
 MOST_BITS = 3
 #: Cells of up to so many rows are compared pair by pair in one array operation.
 _SMALL_CELL = 32
-_NULL_ID = (1 << 63) - 1
+NULL_ID = (1 << 63) - 1
 _PAIR_MASK = np.uint64(0x5555555555555555)
 
 
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in runs(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_prints(block_of(batch.column("text")), shingle))], ["doc_id", "fp"])
 
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
     return base.mapInArrow(go, "doc_id long, fp long")
 
 
@@ -181,14 +181,19 @@ def _in_cell_links(batches, rows: int = 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def roots(prints: DataFrame) -> DataFrame:
+def _links_of(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of distinct fingerprints."""
+    # Nodes are fingerprints, as signed numbers.
+    nodes = prints.select("fp", F.col("fp").alias("node"))
+    spread = nodes.mapInArrow(_in_cells, "cell long, own boolean, fp long, node long").repartition(partitions(prints.sparkSession), "cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(_in_cell_links, "a long, b long")
+
+
+def roots(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, lead_fp) of every distinct fingerprint: the smallest
     doc_id reachable over links, and the fingerprint that carries it."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "fp")).alias("lead")).select("fp", F.col("lead.doc_id").alias("doc_id")))
-    # Nodes are fingerprints, as signed numbers.
-    nodes = distinct.select("fp", F.col("fp").alias("node"))
-    spread = nodes.mapInArrow(_in_cells, "cell long, own boolean, fp long, node long").repartition(partitions(prints.sparkSession), "cell").sortWithinPartitions("cell")
-    linked = components(spread.mapInArrow(_in_cell_links, "a long, b long"))
+    linked = components(_links_of(distinct) if links is None else links)
     placed = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
     return placed.join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.fp").alias("lead_fp"))
@@ -204,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     null.  Other columns are not read; an empty table gives no rows.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
-    back = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return prints.join(roots(prints), "fp").select(back("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component_id"))
 
 
@@ -214,16 +219,21 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Of rows that share it and its fingerprint the first by text is kept.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
+    return keep_leads(docs, prints, None, lambda batch: _prints(block_of(batch.column("text")), shingle))
+
+
+def keep_leads(docs: DataFrame, prints: DataFrame, links: DataFrame | None, prints_of) -> DataFrame:
+    """The rows of ``docs`` that lead their components; ``prints_of`` gives the fingerprints of a batch."""
     # One row of each component; the rows of a hot fingerprint meet nowhere.
-    best = roots(prints).where("fp = lead_fp").select(F.col("component_id").alias("tessera_best"), F.col("lead_fp").alias("tessera_lead")).distinct()
+    best = roots(prints, links).where("fp = lead_fp").select(F.col("component_id").alias("tessera_best"), F.col("lead_fp").alias("tessera_lead")).distinct()
     twice = prints.groupBy("doc_id").count().where("count > 1")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     if not twice.limit(1).count():
         return docs.join(best, key == best.tessera_best, "left_semi")
 
     def mark(batches):
         for batch in runs(batches):
-            yield batch.append_column("tessera_fp", pa.array(_prints(block_of(batch.column("text")), shingle)))
+            yield batch.append_column("tessera_fp", pa.array(prints_of(batch)))
 
     from pyspark.sql import Window
     from pyspark.sql.types import LongType, StructType

@@ -196,3 +196,65 @@ def test_empty_table(spark, module, name):
 
     f = getattr(importlib.import_module(f"tessera.llm.{module}"), name)
     assert f(frame(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
+
+
+def brute_jaccard_kept(rows, width=5):
+    """Ids that lead a group linked by a Jaccard similarity of 0.8 or more."""
+    rows = sorted(rows, key=lambda r: r[0])
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted(rows[i][0] for i in range(len(rows)) if root[i] == i)
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_copies_equal_brute_jaccard(spark, small):
+    """Chains, near copies around the limit, and a line that all of many texts share."""
+    import random
+
+    from tessera.llm import near_dedup
+
+    rng = random.Random(small)
+    rows = [(i, t) for i, t in corpus()]
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 30, 90, 200]))] for _ in range(30)]
+    for i in range(260):
+        w = list(texts[rng.randrange(30)] if rng.random() < 0.8 else texts[0])
+        for _ in range(rng.randrange(1 + len(w) // 30)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(9000)}"
+        texts.append(w)
+        rows.append((3000 + i, " ".join(w).upper() + (f"\n{line}" if i % 2 else "")))
+    got = sorted(r.doc_id for r in near_dedup.keep_one(frame(spark, rows), small=small).collect())
+    assert got == brute_jaccard_kept(rows)
+
+
+def test_pipeline_drops_near_copies(spark):
+    from corpus_pipeline import near_dedup
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[: 10 * i] + [f"v{i}"] + words[10 * i + 1 :])) for i in range(1, 19)] + [(50, " ".join(words[:150]))]
+    assert sorted(r.doc_id for r in near_dedup(spark, frame(spark, rows), "").collect()) == brute_jaccard_kept(rows) == [1, 50]
+
+
+def test_sketches_lose_no_pair():
+    from tessera.llm import near_dedup as N
+
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(300):
+        x = rng.integers(1, 1 << 63, rng.integers(1, 900), dtype=np.uint64)
+        near = np.concatenate([x[rng.random(len(x)) > rng.random() / 4], rng.integers(1, 1 << 63, rng.integers(0, 40), dtype=np.uint64)])
+        sets += [np.unique(x), np.unique(near)]
+    made = N.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    alike = [len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) >= 0.8 for x, y in zip(sets[::2], sets[1::2])]
+    assert 50 < sum(alike) < 250
+    assert [N.similar(x.tobytes(), y.tobytes()) for x, y in zip(sets[::2], sets[1::2])] == alike
+    assert all(N.may_be_similar(x, y) for x, y, s in zip(made[::2], made[1::2], alike) if s)
+    assert not any(N.may_be_similar(x, y) for x, y in zip(made[::2], made[2::2]))
