@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import budgets, grid
@@ -377,7 +378,8 @@ def mmtok_adaptive_tau(spark, d):
 @query()
 def mmtok_greedy_exact(spark, d):
     t = tokens(spark, d)
-    return out(mmtok.plan(t, query_tokens(spark, d), _core(t, 16), ratio=RATIO, text_temperature=0.1), "video_id", "pos", "step", rounded=("objective",))
+    every = t.select("video_id", "pos", (1 / F.count("*").over(Window.partitionBy("video_id"))).alias("weight"))
+    return out(mmtok.plan(t, query_tokens(spark, d), every, ratio=RATIO, text_temperature=0.1, profile="exact"), "video_id", "pos", "step", rounded=("objective",))
 
 
 @query()

@@ -173,6 +173,25 @@ def test_flash_counts_and_mmtok_sizes(spark, data):
     assert {r.video_id: r.n for r in kept.groupBy("video_id").agg(F.count("*").alias("n")).collect()} == {v: n // 2 for v, n in sizes.items()}
 
 
+def test_exact_query_covers_all_tokens_of_long_videos(spark, monkeypatch):
+    from tessera.catalog import selection
+    from tessera.operators import dense
+
+    rng = np.random.default_rng(4)
+    vec, query = rng.normal(size=(1100, 4)), rng.normal(size=(3, 4))
+    t = spark.createDataFrame([(1, k // 4, k, v.tolist()) for k, v in enumerate(vec)], "video_id long, frame long, pos long, vec array<double>")
+    q = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(query)], "video_id long, qpos long, vec array<double>")
+    monkeypatch.setattr(selection, "tokens", lambda *_: t)
+    monkeypatch.setattr(selection, "query_tokens", lambda *_: q)
+    monkeypatch.setattr(selection, "RATIO", 0.02)
+    u = dense.unit(vec, mmtok.EPS)
+    cover = np.concatenate([dense.softmax(dense.unit(query, mmtok.EPS), u, 0.1) / 3, dense.softmax(u, u, 0.2) * 0.5 / 1100])
+    taken, trace = mmtok.greedy_exact(cover, 22)
+    got = sorted(selection.mmtok_greedy_exact(spark, "").collect(), key=lambda r: r.step)
+    assert [r.pos for r in got] == taken.tolist()
+    assert np.allclose([r.objective for r in got], trace, atol=1e-5)
+
+
 def test_echo_budget_of_all_keeps_all(spark):
     s = spark.createDataFrame([(1, 0, 0, 0.1, 0.0), (1, 0, 1, 0.3, 0.0), (1, 1, 2, 0.2, 0.9), (1, 1, 3, 0.2, 0.1)], "video_id long, frame long, pos long, relevance double, score double")
     assert echoprune.plan(s, ratio=1.0).count() == 4
