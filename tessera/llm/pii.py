@@ -31,7 +31,20 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_VALUE = re.compile(r"""(?:[ \t]*(?:no\.?|number|id))?[ \t]*[:=#][ \t]*["']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})""", re.IGNORECASE)
+#: Of these, values may hold dots, slashes and the signs of base64; of the others, they may be grouped.
+SECRET_CUES = ("token", "secret", "password", "api_key", "apikey")
+_SIGN = re.compile(r"""(?:[ \t]*(?:no\.?|number|id))?[ \t]*[:=#][ \t]*["']?""", re.IGNORECASE)
+_BLANK = re.compile(r"""(?:[ \t]*(?:no\.?|number|id))?[ \t]+["']?""", re.IGNORECASE)
+_SECRET = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+=~-]{5,}")
+_ACCOUNT = re.compile(r"[0-9]{2,6}(?:[ ./-][0-9]{2,6})+(?![A-Za-z0-9_-])|[A-Za-z0-9][A-Za-z0-9_-]{5,}")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+#: Lengths of IBANs by country.
+_IBAN_LENGTH = {
+    c: int(n) for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split()) for c in countries.split(",")
+}
 _AUTHORITY = re.compile(r"""[^\s"'<>/@]+@[^\s"'<>@]+""")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
@@ -109,13 +122,57 @@ def phones(text: str, pluses: Iterable[int]) -> list[tuple[int, int]]:
     return out
 
 
+def iban_end(text: str, start: int) -> int:
+    """End of the valid IBAN (ISO 7064, 97-10) that starts here, compact or in groups; 0 if there is none."""
+    if not (m := _IBAN.match(text, start)):
+        return 0
+    length = _IBAN_LENGTH.get(text[start : start + 2].upper())
+    ends, code = [], ""
+    for at in range(start, m.end()):
+        if text[at] not in " -":
+            code += text[at].upper()
+            if (len(code) == length if length else len(code) >= 15) and not text[at + 1 : at + 2].isalnum():
+                ends.append((at + 1, code))
+    for end, code in reversed(ends):
+        if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+    return 0
+
+
+def _account_end(text: str, start: int, cue: str, digits: int) -> int:
+    """End of the value of a cue that starts here; 0 if there is none of so many digits."""
+    if cue.endswith(SECRET_CUES):
+        m = _SECRET.match(text, start)
+        value = m[0].rstrip("./") if m else ""
+    elif end := iban_end(text, start):
+        return end
+    elif cue.endswith("iban"):
+        return 0
+    else:
+        m = _ACCOUNT.match(text, start)
+        value = m[0] if m else ""
+    return start + len(value) if len(value) >= 6 and len(_NOT_DIGIT.sub("", value)) >= digits else 0
+
+
 def accounts(text: str, ends: Iterable[int]) -> list[tuple[int, int]]:
-    """Values of at least six characters, four of them digits, after a cue and ``:``, ``=`` or ``#``."""
+    """Whole values after a cue.
+
+    After ``:``, ``=`` or ``#``: at least six characters, four of them digits.
+    After a blank only: valid IBANs, and values of accounts that start with a
+    digit and have eight.  After ``iban``, valid IBANs only.
+    """
     out, free = [], 0
     for end in ends:
-        if (m := _VALUE.match(text, end + 1)) and m.start(1) >= free and len(_NOT_DIGIT.sub("", m[1])) >= 4:
-            out.append(m.span(1))
-            free = m.end(1)
+        cue = text[max(0, end - 7) : end + 1].lower()
+        if m := _SIGN.match(text, end + 1):
+            stop = _account_end(text, m.end(), cue, 4)
+        elif not cue.endswith(SECRET_CUES) and (m := _BLANK.match(text, end + 1)):
+            stop = _account_end(text, m.end(), cue, 8) if text[m.end() : m.end() + 1].isdecimal() else iban_end(text, m.end())
+        else:
+            continue
+        if stop and m.end() >= free:
+            out.append((m.end(), stop))
+            free = stop
     return out
 
 

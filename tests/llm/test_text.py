@@ -219,3 +219,21 @@ def _sharded(D, df, bench):
         return D.contaminated(df, bench)
     finally:
         D.shards = old
+
+
+def test_values_of_cues_are_whole():
+    from tessera.llm import pii
+
+    jwt = "eyJhbGci0iJIUzI1.eyJzdWIi0iIxMjM0.SflKxw/RJSM+eKKF2QT4=="
+    iban = "DE89 3704 0044 0532 0130 00"
+    for cue, value, after in [
+        ("token=", "a1b2" * 100, " end"), ("token: ", jwt, ". Next"), ("api_key=", "k1234/567.8", '"'), ("password#", "x9" * 64 + "-y", "\n"),
+        ("IBAN: ", iban, " is mine"), ("IBAN ", iban, "."), ("iban=", iban.replace(" ", ""), " 1234"), ("Account number ", iban, " 00"), ("IBAN ", "GB82 WEST 1234 5698 7654 32", " to"), ("IBAN: ", "NO9386011117947", ","),
+        ("account: ", "1234 5678 9012", " was"), ("account ", "1234 5678 9012", ", ok"), ("ssn ", "123-45-6789", ""), ("acct #", "12.345.678/0001-90", " x"), ("passport: ", "C01X00T478", " y"),
+    ]:
+        text = f"see {cue}{value}{after}"
+        start = 4 + len(cue)
+        assert pii.spans(text)["account"] == [(start, start + len(value))], text
+        assert value not in pii.redacted(text)
+    for text in ("IBAN: DE88 3704 0044 0532 0130 00", "IBAN DE88370400440532013000", "account 12 of", "the token 1234567890", "account holder number 5"):
+        assert not pii.spans(text).get("account"), text
