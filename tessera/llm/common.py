@@ -26,16 +26,21 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Values of a byte at each of the first places of a string are looked up, those further on are mixed when met.
+_PLACES = 64
+_tables: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests, local runs), a temporary
-    folder is set once for the session.
+    Where ``spark.checkpoint.dir`` is unset, a local session sets a temporary
+    folder once; on a cluster that is an error, as no other machine could read it.
     """
     path, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return path or sc.getCheckpointDir()
 
@@ -70,6 +75,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _mixed_codes(code: np.ndarray, salt: int) -> np.ndarray:
+    return mix(mix(code.astype(np.uint64) + np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))) + np.uint64(_BASE))
+
+
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     got = _powers.get(base)
@@ -116,9 +125,30 @@ class TextBlock:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = rolling(_BYTE_VALUE[self.data])
-        return mix(h(starts, ends) ^ ((ends - starts).astype(np.uint64) * np.uint64(_BASE)))
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hashes of strings that do not overlap: the sum of a mixed value of each
+        byte with its place, so no exchange of bytes between places cancels out."""
+        n = ends - starts
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(before, n)
+        code = place << 8 | self.data[place + np.repeat(starts, n)]
+        if salt not in _tables:
+            _tables[salt] = _mixed_codes(np.arange(_PLACES << 8), salt)
+        values = _tables[salt][np.minimum(code, (_PLACES << 8) - 1)]
+        far = np.flatnonzero(code >= _PLACES << 8)
+        values[far] = _mixed_codes(code[far], salt)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+        return mix(sums[before + n] - sums[before] + n.astype(np.uint64) * np.uint64(_BASE))
+
+    def gram_hashes(self):
+        """A Rabin-Karp hasher of strings of 8 bytes or more, over the mixed values of
+        their 8-byte pieces (of the bytes themselves, long strings that swap two bytes
+        in the pattern of Thue and Morse would have one hash)."""
+        x = np.concatenate([self.data, np.zeros(7, np.uint8)]).astype(np.uint64)
+        for step in (1, 2, 4):
+            x = x[:-step] | x[step:] << np.uint64(8 * step)
+        h = rolling(mix(x))
+        return lambda start, end: h(start, end - 7)
 
     def lowered(self) -> TextBlock:
         """A to Z as a to z; other bytes as they are."""

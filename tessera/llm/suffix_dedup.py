@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import TextBlock, cut_lineage, groups_of, mix, partitions, runs
+from .common import TextBlock, cut_lineage, groups_of, mix, runs
+from .exchange import changes as _new
 from .gsaca import suffix_arrays
 
 #: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes.
@@ -37,29 +38,23 @@ _HOT, _HOT_LEVEL = 500, 2
 #: Bytes that are suffix-sorted at once.
 _BATCH = 1 << 20
 _SALT = 0x9E3779B97F4A7C15
+#: Bytes of an anchor's hash that segments carry, beside 8 of the content's hash.
+_KEY = 6
 _LOW = np.uint64((1 << 28) - 1)
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long"
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _new(*keys: np.ndarray) -> np.ndarray:
-    """True where any of the sorted keys changes."""
-    out = np.ones(len(keys[0]), bool)
-    if len(out):
-        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return out
-
-
 def segments(block: TextBlock, k: int, width: int) -> tuple[np.ndarray, ...]:
     """Text, first byte, windows, anchor hash and content hash of each segment, in order."""
     n = len(block.data)
     if n < width:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    roll = block.byte_hashes()
+    roll = block.gram_hashes()
     at = np.arange(n - k + 1)
     h = mix(roll(at, at + k))
     least = (h & ~_LOW) | (_LOW - (at.astype(np.uint64) & _LOW))
@@ -162,12 +157,14 @@ _FOUND = (("home", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()))
 
 def _to_homes(ids, tag, at, n, homes: int, extra: np.ndarray | None = None) -> list[tuple[int, bytes]]:
     """Messages, by home, of entries in any order."""
+    if not len(ids):
+        return []
     order = np.lexsort((at, tag, ids))
     ids, tag, at, n = ids[order], tag[order], at[order], n[order]
     extra = None if extra is None else extra[order]
     new = _new(ids, tag)
     doc = np.cumsum(new) - 1
-    return [(where, ex.message(ids[new], tag[new], doc[r], at[r], None, n[r], None if extra is None else extra[r])) for where, r in ex.split_by(ex.home(ids, homes))]
+    return [(where, ex.message(ids[new], tag[new], doc[r], at[r], n[r], None if extra is None else extra[r])) for where, r in ex.split_by(ex.home(ids, tag, homes))]
 
 
 def _packed(buckets: int, key, ids, tag, at, n, data: TextBlock, send: np.ndarray, width: int) -> list[tuple[int, bytes]]:
@@ -176,7 +173,7 @@ def _packed(buckets: int, key, ids, tag, at, n, data: TextBlock, send: np.ndarra
     out = []
     for bucket, r in ex.split_by((key[send] % np.uint64(buckets)).astype(np.uint32)):
         r = send[r]
-        head = struct.pack("<I", len(r)) + b"".join(x[r].astype("<i8").tobytes() for x in (ids, tag, at, n, key))
+        head = struct.pack("<I", len(r)) + b"".join(x[r].astype("<i8").tobytes() for x in (ids, tag.view(np.int64), at, n, key.view(np.int64)))
         out.append((bucket, ex._squeeze(head + _gather(data, data.offsets[r], n[r] + width - 1).data.tobytes())))
     return out
 
@@ -186,54 +183,65 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
     in a document with a smaller doc_id; strings are judged on the input.
 
     Null texts are empty; texts shorter than ``width`` stay whole.  Rows that
-    share a doc_id do not remove from each other.  A null id counts as 2**63 - 1
-    and is given back as null.  Other columns are not read; an empty table
-    gives no rows.
+    share a doc_id do not remove from each other.  Null ids count as one id
+    after all others and are given back as null.  Other columns are not read; an
+    empty table gives no rows.
     """
     if width != ANCHORS[-1]:
         raise ValueError(f"anchors are laid out for strings of {ANCHORS[-1]} bytes")
-    spark = docs.sparkSession
-    base, twice = ex.prepared(docs)
-    # A task sends a message for each home or bucket that it has something for: their number is that of the partitions, squared.
-    buckets = homes = partitions(spark)
+    given = ex.prepared(docs)
+    twice, buckets = given.twice, given.buckets
+    homes = buckets
+
+    def told(held) -> pa.RecordBatch:
+        """Later copies among these go home; the other segments are sent on to meet by anchor."""
+        ids, tag, doc, at, n, key, content = ex.merged(held)
+        held.clear()
+        many, first = ex.first_of_each((key, content), np.arange(len(doc)))
+        copy = np.zeros(len(doc), bool)
+        one, lead = doc[many], doc[many[first]]
+        copy[many[(ids[one] != ids[lead]) | (tag[one] >= ex.NULL_TAG) & (tag[lead] < ex.NULL_TAG)]] = True
+        out = [(buckets + where, p) for where, p in _to_homes(ids[doc[copy]], tag[doc[copy]], at[copy], n[copy], homes)]
+        send = np.flatnonzero(~copy)
+        for bucket, r in ex.split_by(((key[send] >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)):
+            r = send[r]
+            out.append((bucket, ex.message(ids, tag, doc[r], at[r], n[r], np.hstack([ex.low_bytes(key[r], _KEY), ex.low_bytes(content[r], 8)]))))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "payload"])
 
     def anchored(batches):
+        held, size = [], 0
         for batch in runs(batches):
             ids, tag, block = ex.in_order(batch, twice)
             doc, at, n, key, content = segments(block, ANCHORS[0], width)
-            if not len(doc):
-                continue
-            # Later copies within the block are settled here.
-            many, first = ex.first_of_each(key * np.uint64(3) + content, np.arange(len(doc)))
-            copy = np.zeros(len(doc), bool)
-            copy[many[ids[doc[many]] != ids[doc[many[first]]]]] = True
-            out = [(buckets + where, p) for where, p in _to_homes(ids[doc[copy]], tag[doc[copy]], at[copy], n[copy], homes)]
-            send = np.flatnonzero(~copy)
-            extra = np.hstack([ex.low_bytes(key, 6), ex.low_bytes(content, 6)])
-            for bucket, r in ex.split_by(((key[send] >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32)):
-                r = send[r]
-                out.append((bucket, ex.message(ids, tag, doc[r], at[r], None, n[r], extra[r])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "payload"])
+            if len(doc):
+                held.append((ids, tag, doc.astype(np.int32), at.astype(np.int32), n.astype(np.int32), key, content))
+                size += len(block.data)
+            if size >= ex.FLUSH_BYTES:
+                yield told(held)
+                size = 0
+        if held:
+            yield told(held)
 
     def met(table: pa.Table) -> pa.Table:
         bucket, payloads = table.column("bucket")[0].as_py(), table.column("payload").to_pylist()
         if bucket >= buckets:
             return _table([(bucket - buckets, 1, p) for p in payloads], *_FOUND)
-        ids, tag, at, n = (np.concatenate(x) for x in list(zip(*((i, t, a, s) for i, t, a, _, s in map(ex.opened, payloads)), strict=True)))
+        ids, tag, at, n = (np.concatenate(x) for x in zip(*map(ex.opened, payloads), strict=True))
         extra = np.concatenate([ex.extra_of(p) for p in payloads])
-        key, content = ex.from_bytes(extra[:, :6]), ex.from_bytes(extra[:, 6:])
-        order, _ = ex.first_of_each(key, content, ids)  # anchors that occur once cannot repeat
+        key, content = ex.from_bytes(extra[:, :_KEY]), ex.from_bytes(extra[:, _KEY:])
+        del extra
+        order, _ = ex.first_of_each((key,), content, ids, tag >= ex.NULL_TAG)  # anchors that occur once cannot repeat
         key, content, ids, tag, at, n = key[order], content[order], ids[order], tag[order], at[order], n[order]
         if not len(key):
             return _table([], *_FOUND)
         new = _new(key, content)
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        copy = ids != ids[lead]
+        copy = (ids != ids[lead]) | ((tag >= ex.NULL_TAG) != (tag[lead] >= ex.NULL_TAG))
         out = [(where, 1, p) for where, p in _to_homes(ids[copy], tag[copy], at[copy], n[copy], homes)]
         anchor = np.cumsum(_new(key)) - 1
         unlike = np.bincount(anchor, new)[anchor]
         ask = (unlike > 1) & ~copy
-        extra = np.hstack([ex.low_bytes(key[ask], 6), (unlike[ask] > hot).astype(np.uint8)[:, None]])
+        extra = np.hstack([ex.low_bytes(key[ask], _KEY), (unlike[ask] > hot).astype(np.uint8)[:, None]])
         out += [(where, 2, p) for where, p in _to_homes(ids[ask], tag[ask], at[ask], n[ask], homes, extra)]
         return _table(out, *_FOUND)
 
@@ -242,13 +250,13 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
         if not asked.num_rows:
             return _table([], ("bucket", pa.int64()), ("payload", pa.binary()))
         payloads = asked.column("payload").to_pylist()
-        ids, tag, at, n = (np.concatenate(x) for x in zip(*((i, t, a, s) for i, t, a, _, s in map(ex.opened, payloads)), strict=True))
+        ids, tag, at, n = (np.concatenate(x) for x in zip(*map(ex.opened, payloads), strict=True))
         extra = np.concatenate([ex.extra_of(p) for p in payloads])
-        key, is_hot = ex.from_bytes(extra[:, :6]), extra[:, 6] > 0
+        key, is_hot = ex.from_bytes(extra[:, :_KEY]), extra[:, _KEY] > 0
         done = np.zeros(len(ids), bool)
         out, held = [], []
         for payload in texts.column("payload"):
-            text_ids, text_tags, block = ex.open_texts(payload.as_py())
+            text_ids, text_tags, _, block = ex.open_texts(payload.as_py())
             row, want = ex.lookup(text_ids, text_tags, ids, tag)
             want, one = np.unique(want, return_index=True)
             row = row[one]
@@ -266,12 +274,12 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
         if held:
             i2, t2, a2, n2, k2, c2 = (np.concatenate([h[j] for h in held]) for j in range(6))
             data = TextBlock(np.concatenate([h[6].data for h in held]), np.concatenate([[0], np.cumsum(n2 + width - 1)]))
-            order = np.lexsort((i2, c2, k2))
+            order = np.lexsort((t2 >= ex.NULL_TAG, i2, c2, k2))
             new = _new(k2[order], c2[order])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             copy = np.zeros(len(order), bool)
-            copy[order] = i2[order] != i2[lead]
-            out += [(buckets + where, p) for where, p in _to_homes(i2[copy], t2[copy].astype(np.uint32), a2[copy], n2[copy], homes)]
+            copy[order] = (i2[order] != i2[lead]) | ((t2[order] >= ex.NULL_TAG) != (t2[lead] >= ex.NULL_TAG))
+            out += [(buckets + where, p) for where, p in _to_homes(i2[copy], t2[copy], a2[copy], n2[copy], homes)]
             out += _packed(buckets, k2, i2, t2, a2, n2, data, ~copy, width)
         return _table(out, ("bucket", pa.int64()), ("payload", pa.binary()))
 
@@ -287,49 +295,53 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
             fields.append(np.frombuffer(body, "<i8", 5 * m, 4).reshape(5, m))
             data.append(np.frombuffer(body, np.uint8, offset=4 + 40 * m))
         ids, tag, at, n, key = np.hstack(fields)
+        tag = tag.view(np.uint64)
+        order = np.lexsort((tag >= ex.NULL_TAG, ids))
+        age = np.empty(len(ids), np.int64)  # by doc_id, null ids last
+        age[order] = np.cumsum(_new(ids[order], tag[order] >= ex.NULL_TAG))
         sizes = n + width - 1
         block = TextBlock(np.concatenate(data), np.concatenate([[0], np.cumsum(sizes)]))
-        content = mix(block.byte_hashes()(block.offsets[:-1], block.offsets[1:]) + sizes.astype(np.uint64))
-        order = np.lexsort((ids, content, key))
+        content = mix(block.gram_hashes()(block.offsets[:-1], block.offsets[1:]) + sizes.astype(np.uint64))
+        order = np.lexsort((age, content, key))
         new = _new(key[order], content[order])
         lead = order[new]
-        smallest = smallest_holders(_gather(block, block.offsets[lead], sizes[lead]), key[lead], ids[lead], width)
+        smallest = smallest_holders(_gather(block, block.offsets[lead], sizes[lead]), key[lead], age[lead], width)
         begin = np.cumsum(n[lead]) - n[lead]
         text = np.empty(len(order), np.int64)
         text[order] = np.cumsum(new) - 1
         entry, step = np.repeat(np.arange(len(ids)), n), _within(n)
-        gone = smallest[begin[text[entry]] + step] < ids[entry]
+        gone = smallest[begin[text[entry]] + step] < age[entry]
         entry, place = entry[gone], (at[entry] + step)[gone]
         run = np.flatnonzero(_new(entry, place - np.arange(len(place))))
         e = entry[run]
-        found = _to_homes(ids[e], tag[e].astype(np.uint32), place[run], np.diff(np.append(run, len(entry))), homes)
+        found = _to_homes(ids[e], tag[e], place[run], np.diff(np.append(run, len(entry))), homes)
         return _table([(where, 1, p) for where, p in found], *_FOUND)
 
     def removed(texts: pa.Table, found: pa.Table) -> pa.Table:
-        marks = [(i, t, a, s) for i, t, a, _, s in map(ex.opened, found.column("payload").to_pylist())]
-        marks = [np.concatenate(x) for x in zip(*marks, strict=True)] if marks else [np.zeros(0, np.int64)] * 4
+        marks = [*map(ex.opened, found.column("payload").to_pylist())]
+        marks = [np.concatenate(x) for x in zip(*marks, strict=True)] if marks else [np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2]
         rows = []
         for payload in texts.column("payload"):
             rows += _cut(*ex.open_texts(payload.as_py()), marks, width)
-        return _table(rows, ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
+        return _table(rows, ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("copies", pa.int64()))
 
     found_schema = "home long, kind int, payload binary"
-    texts = ex.texts_home(base, homes, twice).groupBy("home")
-    first = base.mapInArrow(anchored, "bucket long, payload binary").groupBy("bucket").applyInArrow(met, found_schema)
+    texts = ex.texts_home(given).groupBy("home")
+    first = given.base.mapInArrow(anchored, "bucket long, payload binary").groupBy("bucket").applyInArrow(met, found_schema)
     first = cut_lineage(first)  # read twice
     asked = first.where("kind = 2").groupBy("home")
     second = texts.cogroup(asked).applyInArrow(sent, "bucket long, payload binary").groupBy("bucket").applyInArrow(settled, found_schema)
-    return texts.cogroup(first.where("kind = 1").unionByName(second).groupBy("home")).applyInArrow(removed, _OUT)
+    return ex.each_copy(texts.cogroup(first.where("kind = 1").unionByName(second).groupBy("home")).applyInArrow(removed, _OUT))
 
 
-def _cut(ids, tag, block, marks, width: int) -> list[tuple]:
+def _cut(ids, tag, copies, block, marks, width: int) -> list[tuple]:
     row, mark = ex.lookup(ids, tag, marks[0], marks[1])
     order = np.argsort(row, kind="stable")
     row, mark = row[order], mark[order]
     at, stop = marks[2][mark], marks[2][mark] + marks[3][mark] - 1 + width
     cuts = np.searchsorted(row, np.arange(block.n + 1))
     out = []
-    for i, doc_id in enumerate(ids.tolist()):
+    for i, (doc_id, many) in enumerate(zip(ex.given_back(ids, tag), copies.tolist(), strict=True)):
         data = block.data[block.offsets[i] : block.offsets[i + 1]]
         total, spans = len(data), 0
         if cuts[i] < cuts[i + 1]:
@@ -339,5 +351,5 @@ def _cut(ids, tag, block, marks, width: int) -> list[tuple]:
             left = np.cumsum(cover[:-1]) <= 0
             spans = int(np.count_nonzero(~left & np.concatenate([[True], left[:-1]])))
             data = data[left]
-        out.append((None if doc_id == (1 << 63) - 1 else doc_id, total, total - len(data), spans, hashlib.sha256(data.tobytes()).hexdigest()))
+        out.append((doc_id, total, total - len(data), spans, hashlib.sha256(data.tobytes()).hexdigest(), many))
     return out
