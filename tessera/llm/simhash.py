@@ -23,7 +23,10 @@ from .components import components, local_forest
 MOST_BITS = 3
 #: Cells of up to so many rows are compared pair by pair in one array operation.
 _SMALL_CELL = 32
-NULL_ID = (1 << 63) - 1
+#: Null ids go with this number, and a mark that puts them after a real id of it.
+LAST_ID = (1 << 63) - 1
+#: Rows of one fingerprint that meet in one task.
+SHARE = 1_000_000
 _PAIR_MASK = np.uint64(0x5555555555555555)
 
 
@@ -54,15 +57,21 @@ def _prints(block: TextBlock, shingle: int) -> np.ndarray:
     return np.array([fingerprint(block.text(i), shingle) for i in range(block.n)], np.uint64).view(np.int64)
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the largest number), no_id, text (null: empty) and tie, a hash of the text that tells rows of one id apart."""
+    doc_id, text = F.col("doc_id").cast("long"), text_or_empty()
+    return docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; null ids are 2**63 - 1, null texts empty."""
+    """(no_id, doc_id, tie, fp) of every row."""
 
     def go(batches):
         for batch in runs(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_prints(block_of(batch.column("text")), shingle))], ["doc_id", "fp"])
+            found = pa.array(_prints(block_of(batch.column("text")), shingle))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("no_id", "doc_id", "tie")), found], ["no_id", "doc_id", "tie", "fp"])
 
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    return base.mapInArrow(go, "doc_id long, fp long")
+    return rows_of(docs).mapInArrow(go, "no_id boolean, doc_id long, tie long, fp long")
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -190,56 +199,57 @@ def _links_of(prints: DataFrame) -> DataFrame:
 
 
 def roots(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(fp, component_id, lead_fp) of every distinct fingerprint: the smallest
-    doc_id reachable over links, and the fingerprint that carries it."""
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "fp")).alias("lead")).select("fp", F.col("lead.doc_id").alias("doc_id")))
+    """(fp, n, lead) of every distinct fingerprint: its number of rows, and the
+    first row (no_id, doc_id, tie, fp) that is reachable over links."""
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("no_id", "doc_id", "tie", "fp")).alias("lead"), F.count("*").alias("n")))
     linked = components(_links_of(distinct) if links is None else links)
-    placed = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    best = placed.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
-    return placed.join(best, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.fp").alias("lead_fp"))
+    placed = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "n", "lead", F.coalesce("root", "fp").alias("root"))
+    best = placed.groupBy("root").agg(F.min("lead").alias("best"))
+    return placed.join(best, "root").select("fp", "n", F.col("best").alias("lead"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, share: int = SHARE) -> DataFrame:
     """Fingerprint and component of every document.
 
     Fingerprints that differ in at most 3 bits are linked; component_id is the
     smallest doc_id reachable.  Texts without words (null, empty) have
     fingerprint zero, linked like any other.  Repeated rows are rows of their
-    own with one fingerprint.  A null doc_id counts as the largest and stays
-    null.  Other columns are not read; an empty table gives no rows.
+    own with one fingerprint.  Null ids count as the largest and stay null.
+    Other columns are not read; an empty table gives no rows.
+
+    Rows of a fingerprint that has over ``share`` of them meet in several tasks.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return prints.join(roots(prints), "fp").select(back("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component_id"))
+    found = cut_lineage(roots(prints))
+    # At most a row per ``share`` rows of the input.
+    hot = F.broadcast(found.where(F.col("n") > share).select("fp", F.ceil(F.col("n") / share).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1)).cast("int")
+    left = prints.join(hot, "fp", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    right = found.join(hot, "fp", "left").select("fp", "lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = left.join(right, ["fp", "part"])
+    back = lambda none, i: F.when(~F.col(none), F.col(i))
+    return both.select(back("no_id", "doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("lead.no_id", "lead.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs``, all columns, with one row of each component: that with the smallest doc_id.
 
-    Of rows that share it and its fingerprint the first by text is kept.
+    Texts without words are one component, linked like any other; null ids
+    count as the largest; of rows that share the id, the one whose text has the
+    smallest hash is kept, and of equal rows one.  Columns may have any names; an
+    empty table gives no rows.
     """
     prints = cut_lineage(with_fingerprints(docs, shingle))
-    return keep_leads(docs, prints, None, lambda batch: _prints(block_of(batch.column("text")), shingle))
-
-
-def keep_leads(docs: DataFrame, prints: DataFrame, links: DataFrame | None, prints_of) -> DataFrame:
-    """The rows of ``docs`` that lead their components; ``prints_of`` gives the fingerprints of a batch."""
-    # One row of each component; the rows of a hot fingerprint meet nowhere.
-    best = roots(prints, links).where("fp = lead_fp").select(F.col("component_id").alias("tessera_best"), F.col("lead_fp").alias("tessera_lead")).distinct()
-    twice = prints.groupBy("doc_id").count().where("count > 1")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    if not twice.limit(1).count():
-        return docs.join(best, key == best.tessera_best, "left_semi")
-
-    def mark(batches):
-        for batch in runs(batches):
-            yield batch.append_column("tessera_fp", pa.array(prints_of(batch)))
-
-    from pyspark.sql import Window
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("tessera_fp", LongType())
-    marked = docs.mapInArrow(mark, schema).withColumn("tessera_id", key)
-    left = marked.join(best, (F.col("tessera_id") == F.col("tessera_best")) & (F.col("tessera_fp") == F.col("tessera_lead")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("tessera_id", "tessera_fp").orderBy("text"))
-    return left.withColumn("tessera_n", first).where("tessera_n = 1").select(*docs.columns)
+    return keep_leads(docs, roots(prints))
+
+
+def keep_leads(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that lead their components, once each."""
+    best = found.select("lead.no_id", "lead.doc_id", "lead.tie").distinct()
+    # The whole row is one column, so no name of it can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    doc_id = F.col("row.doc_id").cast("long")
+    rows = rows.select("row", doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("tie"))
+    # Equal rows are combined in the tasks that read them, so a hot one meets nowhere whole.
+    keys = ["no_id", "doc_id", "tie"]
+    return rows.join(best, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")

@@ -95,3 +95,27 @@ def test_no_machine_local_folder_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_hot_fingerprints_meet_in_several_tasks(spark):
+    from tessera.llm.simhash import near_duplicates
+
+    rows = [(i if i % 3 else None, "same words in all of them") for i in range(1, 60)] + [(100 + i, f"t{i} u{i} v{i}") for i in range(9)] + [(None, None), (200, " ")]
+    df = frame(spark, rows)
+    every = sorted(map(str, near_duplicates(df).collect()))
+    assert len(every) == len(rows) and every == sorted(map(str, near_duplicates(df, share=7).collect()))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_one_of_each_group_stays_whatever_the_names(spark, repeated):
+    from tessera.llm import near_dedup, simhash
+
+    rows = [(1, "a b c d e f", "x", 1, 2, True), (3, "a b c d e f", "y", 1, 2, False), (LAST, "g h i", "z", 1, 2, None), (None, "g h i", "w", 1, 2, None)]
+    rows += [(1, "a b c d e f", "x", 1, 2, True), (1, "other text", "q", 0, 0, True)] if repeated else []
+    df = spark.createDataFrame(rows, "doc_id long, text string, tessera_fp string, lead int, fp int, no_id boolean")
+    for keep in (simhash.keep_one, near_dedup.keep_one):
+        kept = keep(df)
+        assert kept.schema == df.schema
+        got = sorted((r.doc_id, r.tessera_fp) for r in kept.collect())
+        assert got == sorted([(1, "x"), (LAST, "z")] + [(1, "q")] * repeated)
+        assert keep(df.where("doc_id < 0")).count() == 0
