@@ -47,8 +47,9 @@ class Tokeniser:
     """Byte-level BPE ids, equal to ``tokenizers``' for the same file.
 
     Texts are split into the words of the byte-level pattern with array
-    operations, and each distinct word is encoded once.  Texts with
-    contractions, special tokens or code points from FAST_BELOW on go to the
+    operations, and each distinct word is encoded once.  Words are found by hash,
+    then compared letter by letter with the word that was encoded; one that
+    is unlike it is encoded by itself.  Texts with contractions, special tokens or code points from FAST_BELOW on go to the
     library as a whole.
     """
 
@@ -65,9 +66,10 @@ class Tokeniser:
         self._forget()
 
     def _forget(self) -> None:
-        #: Hash of a word -> its row in begin and count, which point into flat.
+        #: Hash of a word -> its row in begin and count, which point into flat, and in letter and long, which point into letters.
         self.row: dict[int, int] = {}
         self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.letter, self.long, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def _words(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the words of the byte-level pattern start."""
@@ -122,11 +124,24 @@ class Tokeniser:
             rows[new] = len(self.begin) + np.arange(len(new))
             self._learn(distinct[new].tolist(), [whole[s:e] for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
         rows = rows[back]
+        for i in self._unlike(rows, points, starts, ends):
+            rows[i] = len(self.begin)
+            self._learn([-1 - len(self.begin)], [whole[starts[i] : ends[i]]])  # no hash leads here
         n = self.count[rows]
         stops = np.cumsum(n)
         ids = self.flat[np.arange(stops[-1]) + np.repeat(self.begin[rows] - (stops - n), n)]
         return np.split(ids, np.concatenate([[0], stops])[np.searchsorted(starts, offsets[1:-1])])
 
+    def _unlike(self, rows: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Words that are not the ones of their rows."""
+        n = ends - starts
+        unlike = n != self.long[rows]
+        before = np.cumsum(n) - n  # words follow on each other, so this is also where each starts
+        shift = np.where(unlike, 0, self.letter[rows] - before)
+        known = self.letters[np.minimum(np.arange(len(points)) + np.repeat(shift, n), len(self.letters) - 1)]
+        unlike |= np.logical_or.reduceat(known != points, starts)
+        return np.flatnonzero(unlike).tolist()
+
     def _learn(self, keys: list[int], words: list[str]) -> None:
         """Encode new words, all in one call with a NUL between them."""
         if any("\0" in w for w in words):
@@ -137,6 +152,9 @@ class Tokeniser:
             gaps = np.concatenate([[-1], np.flatnonzero(flat == self.nul), [len(flat)]])
             count, flat = np.diff(gaps) - 1, flat[flat != self.nul]
         self.row.update(zip(keys, range(len(self.begin), len(self.begin) + len(keys)), strict=True))
+        long = np.fromiter(map(len, words), np.int64, len(words))
+        self.letter, self.long = np.append(self.letter, len(self.letters) + np.cumsum(long) - long), np.append(self.long, long)
+        self.letters = np.append(self.letters, _points("".join(words)).astype(np.uint16))
         self.begin = np.append(self.begin, len(self.flat) + np.cumsum(count) - count)
         self.count, self.flat = np.append(self.count, count), np.append(self.flat, flat)
 
