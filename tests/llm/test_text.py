@@ -116,55 +116,79 @@ def test_classifier_without_labels_or_rows(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
-def brute_winnow(text, k, w):
-    from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
+def brute_winnow(text, k=5, w=8):
+    """(hash, place) of the kept grams, every gram hashed by itself."""
+    import xxhash
+
+    from tessera.llm import winnowing as W
 
     words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
-    grams = [words[i : i + k] for i in range(max(min(len(words), 1), len(words) - k + 1))]
-    if not grams:
-        return []
-    spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame([(i, g) for i, g in enumerate(grams)], "i long, g array<string>")
-    one = F.transform("g", lambda x: F.xxhash64(x))
-    h = rows.select("i", F.xxhash64(*(F.get(one, j) for j in range(k))).alias("h")).orderBy("i").collect()
-    h = [(r.h % (1 << 64)) >> 32 for r in h]
+    words = [x - (1 << 64) if (x := xxhash.xxh64_intdigest(v, 42)) >> 63 else x for v in words]
+    padded = words + [0] * k
+    n = max(min(len(words), 1), len(words) - k + 1)
+    one, two = ([sum(x * pow(b, k - 1 - j, p) for j, x in enumerate(padded[i : i + k])) % p for i in range(n)] for b, p in ((W._BASE, W._PRIME), (W._BASE2, W._PRIME2)))
     kept = []
-    for i in range(max(1, len(h) - w + 1)):
-        part = list(enumerate(h[i : i + w], i))
-        best = min(part, key=lambda x: (x[1], -x[0]))
-        if best not in kept:
+    for i in range(max(1, n - w + 1) if n else 0):
+        best = min(range(i, min(i + w, n)), key=lambda j: (one[j], -j))
+        if kept[-1:] != [best]:  # places never fall
             kept.append(best)
-    return [f"{v:x}@{p}" for p, v in kept]
+    return [(one[i] << 30 | two[i], i) for i in kept]
+
+
+def brute_edited(rows):
+    """All output columns, for rows in any order."""
+    import xxhash
+
+    tie = lambda t: x - (1 << 64) if (x := xxhash.xxh64_intdigest(t, 42)) >> 63 else x
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1].encode()))
+    alike = lambda a, b: 1.0 if not (x := {h for h, _ in a}) | (y := {h for h, _ in b}) else len(x & y) / len(x | y)
+    written = lambda f: " ".join(f"{h:x}@{i}" for h, i in f)
+    out = []
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        f, e, n = brute_winnow(t), brute_winnow(edited), brute_winnow(nxt)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), written(f), written(e), alike(f, e), alike(f, n)))
+    return sorted(out, key=str)
 
 
 def test_fingerprints(spark):
     from tessera.llm.winnowing import edited_fingerprints
 
-    rows = [(i, t) for i, t in corpus() if i % 2 or i > 1000][:25] + [(3000, "same words here"), (2999, "same words here"), (2998, "a b c d e f a b c d e f a b c d e f a b c d e f")]
-    got = {r.doc_id: r for r in edited_fingerprints(frame(spark, rows)).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
-    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
-        t, nxt = t or "", nxt or ""
-        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert got[3000].fingerprint == got[2999].fingerprint and got[3000].near_next == 1.0 and got[1003].fingerprint == ""
-    for i in (2998, order[5][0]):
-        assert got[i].fingerprint.split() == brute_winnow(dict(rows)[i] or "", 5, 8)
+    rows = [(i, t) for i, t in corpus() if i % 2 or i > 1000] + [(3000, "same words here"), (2999, "same words here"), (2998, "a b c d e f a b c d e f a b c d e f a b c d e f")]
+    got = edited_fingerprints(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_edited(rows)
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[3000].fingerprint == by[2999].fingerprint and by[3000].near_next == 1.0 and by[1003].fingerprint == ""
+
+
+@pytest.mark.parametrize("kind", ["hashed", "negative", "outlier", "null", "repeated", "rows", "ends"])
+def test_fingerprints_whatever_the_ids(spark, kind):
+    """Neighbours by ids of any spread, over many cells; no cell holds much more than its share."""
+    from tessera.llm import winnowing as W
+
+    rng = random.Random(kind)
+    n = 900
+    ids = {
+        "hashed": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)], "negative": [-7 * i for i in range(n)], "outlier": [*range(n - 2), 1 << 62, -(1 << 62)],
+        "null": [None if i % 3 else i for i in range(n)], "repeated": [5 if i % 3 == 0 else 9 if i % 3 == 1 else i for i in range(n)], "rows": [i // 7 for i in range(n)], "ends": [*range(n - 2), (1 << 63) - 1, -(1 << 63)],
+    }[kind]
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(20)))) for i in ids]
+    if kind == "rows":
+        rows = [(i, f"text of {i}") for i in ids]
+    rng.shuffle(rows)
+    df = frame(spark, rows)
+    assert sorted(map(tuple, W.edited_fingerprints(df).collect()), key=str) == brute_edited(rows)
+    base = df.selectExpr("doc_id", "coalesce(text, '') as text")
+    per = [r["count"] for r in W.with_cells(base, 14).groupBy("cell").count().collect()]
+    assert len(per) >= 10 and max(per) <= 3 * n / 14
 
 
 def test_fingerprints_of_odd_tables(spark):
     from tessera.llm.winnowing import edited_fingerprints
 
     assert edited_fingerprints(frame(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
-    one = edited_fingerprints(frame(spark, [(1, "abc def")])).first()
-    assert one.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
-    rows = [(None, "abc"), (2, "abcdef"), (2, "abcdef"), (10**15, "xyz")]
-    got = edited_fingerprints(frame(spark, rows)).collect()
-    assert len(got) == 4
-    assert {r.edited_sha256 for r in got if r.doc_id is None} == {hashlib.sha256(b"abx").hexdigest()}
+    for rows in ([(1, "abc def")], [(None, "abc"), (2, "abcdef"), (2, "abcdef"), (10**15, "xyz")], [(None, None), (None, None)], [(None, None), (3, "x y" * 200_000)]):
+        assert sorted(map(tuple, edited_fingerprints(frame(spark, rows)).collect()), key=str) == brute_edited(rows)
 
 
 def test_native_plan(spark):
