@@ -106,20 +106,20 @@ class Leader:
         self.n[at] = n
 
 
-#: Gives, for one text, pairs of feature sets that should score alike.
-Twins = Callable[[str], list[tuple[np.ndarray, np.ndarray]]]
+#: Gives, for one text, what only the one and only the other of two sets have that should score alike, and how often.
+Twins = Callable[[str], list[tuple[np.ndarray, np.ndarray, int]]]
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, twins: list[list[tuple[np.ndarray, np.ndarray]]], lower: bool, beginnings: tuple[int, ...] = (), epochs: int = 4, rarest: int = 3, penalty: float = 1.0, l1: float = 1.0) -> Model:
+def learn(rows: list[np.ndarray], labels: np.ndarray, twins: list[list[tuple[np.ndarray, np.ndarray, int]]], lower: bool, beginnings: tuple[int, ...] = (), epochs: int = 4, rarest: int = 3, penalty: float = 1.0, l1: float = 1.0) -> Model:
     """Fit a model to feature sets and 0/1 labels.
 
-    A feature counts if it is in ``rarest`` rows at least.  Each pair of twins
-    adds ``penalty`` times the squared difference of the two logits.
+    A feature counts if it is in ``rarest`` rows at least, or tells twins apart.
+    Each pair of twins adds ``penalty`` times the squared difference of the two logits.
     """
     seen, df = np.unique(np.concatenate([np.zeros(0, np.uint32), *rows]), return_counts=True)
     keys = seen[df >= rarest]
     if any(twins):
-        keys = np.union1d(keys, np.concatenate([x for t in twins for pair in t for x in pair]))
+        keys = np.union1d(keys, np.concatenate([x for t in twins for pair in t for x in pair[:2]]))
 
     def known(x: np.ndarray) -> np.ndarray:
         at = np.searchsorted(keys, x)
@@ -133,17 +133,17 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, twins: list[list[tuple[np.
     # The rarer label counts for as much as the other, up to four times over.
     share = float(np.mean(labels)) if len(labels) else 0.5
     weight = np.where(labels > 0, min(4.0, max(0.5, 0.5 / max(share, 1e-9))), min(4.0, max(0.5, 0.5 / max(1 - share, 1e-9))))
-    changes = [[(np.setxor1d(known(a), known(b)), np.setdiff1d(known(a), known(b))) for a, b in t] for t in twins]
+    changes = [[(np.setxor1d(known(a), known(b)), known(a), times) for a, b, times in t] for t in twins]
     for _ in range(epochs):
         for i in order.permutation(len(cols)):
             at = cols[i]
             w = model.weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -60, 60)))
             model.step(at, w, np.full(len(at), (p - labels[i]) * weight[i]))
-            for both, mine in changes[i]:
+            for both, mine, times in changes[i]:
                 sign = np.where(np.isin(both, mine), 1.0, -1.0)
                 w = model.weights(both)
-                model.step(both, w, 2 * penalty * np.clip((w * sign).sum(), -5, 5) * sign)
+                model.step(both, w, 2 * penalty * times * np.clip((w * sign).sum(), -5, 5) * sign)
     w = model.weights(np.arange(bias + 1))
     on = np.flatnonzero(w[:-1])
     return Model(keys[on].astype(np.uint32), w[on], float(w[-1]), lower, beginnings)
@@ -160,19 +160,20 @@ def fit(
     """Fit on at most ``most`` labelled rows outside the held-out fold.
 
     The rows are those with the smallest hashes of their ids, whatever the
-    size of the table; rows with a null id or label are not used.  The sample
-    of ids is bounded by ``most``, so it is broadcast.
+    size of the table; rows with a null id or label are not used.  Of an id with
+    several labels the highest counts, of one with several texts the smallest.  The
+    sample of ids is bounded by ``most``, so it is broadcast.
     """
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(f"doc_id is not null and label in (0, 1)").where(~held_out())
     few = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def featurise(batches):
         for batch in runs(batches):
             texts = batch.column("text").to_pylist()
             found = text_features(texts, lower, beginnings)
             pairs = [twins(t) if twins else [] for t in texts]
-            flat = [[x.tobytes() for pair in p for x in pair] for p in pairs]
+            flat = [[x.tobytes() for a, b, times in p for x in (a, b, np.array([times], np.uint32))] for p in pairs]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(flat, pa.list_(pa.binary()))],
                 ["doc_id", "label", "found", "pairs"],
@@ -186,12 +187,12 @@ def fit(
             rows += [np.frombuffer(x, np.uint32) for x in batch.column("found").to_pylist()]
             for p in batch.column("pairs").to_pylist():
                 got = [np.frombuffer(x, np.uint32) for x in p]
-                pairs.append(list(zip(got[::2], got[1::2], strict=True)))
+                pairs.append([(a, b, int(times[0])) for a, b, times in zip(got[::3], got[1::3], got[2::3], strict=True)])
         if len(set(marks)) < 2:  # nothing to tell apart: the share of the label
             share = (sum(marks) + 0.5) / (len(marks) + 1)
             model = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(share / (1 - share))), lower)
         else:
-            order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i].tobytes()))[:most]
+            order = sorted(range(len(ids)), key=ids.__getitem__)
             model = learn([rows[i] for i in order], np.array([marks[i] for i in order], float), [pairs[i] for i in order], lower, beginnings, penalty=penalty, l1=l1)
         yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["keys", "weights", "bias"])
 
@@ -214,7 +215,11 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns as they are, that score ``threshold`` or more.
+
+    Null texts count as empty; rows of null or repeated ids are judged each;
+    columns may have any names.
+    """
 
     def go(batches):
         for batch in runs(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classify import _KIND
-from .common import TextBlock, block_of, groups_of, rolling, runs, text_or_empty
+from .common import TextBlock, block_of, cut_lineage, groups_of, rolling, runs, text_or_empty
 
 #: Share of an item's own BM25 score that makes a passage a candidate.
 THRESHOLD = 0.5
@@ -31,6 +31,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 #: Items of one index; larger benchmarks are searched in several passes over the documents.
+#: Statistics are those of the whole benchmark, so the number of passes changes no score.
 SHARD_ITEMS = 4_000
 #: Item blocks of the first bounds, and postings of a block in the lists.
 _COLUMNS, _POSTINGS = 64, 8
@@ -82,8 +83,19 @@ class Index:
     parts: list[tuple[tuple[np.ndarray, int], ...]]  # by item: shingles of question and answer, with the words of a shingle
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
-    """The index of some items; items without words are left out, as nothing can hold them."""
+@dataclass
+class Statistics:
+    """Of a whole benchmark: items with words, their mean and greatest length, and in how many of them a term is."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
+def build(rows: list[tuple[int, str]], known: Statistics | None = None) -> Index:
+    """The index of some items, by the statistics given, or else their own;
+    items without words are left out, as nothing can hold them."""
     found = [(i, t, terms(block_of(pa.array([t], pa.string())))[0]) for i, t in rows]
     found = [x for x in found if len(x[2])]
     lengths = np.array([len(h) for *_, h in found], float)
@@ -92,12 +104,14 @@ def build(rows: list[tuple[int, str]]) -> Index:
         for term, tf in zip(*np.unique(h, return_counts=True), strict=True):
             df[int(term)].append((k, int(tf)))
     vocabulary = np.array(sorted(df), np.uint64)
-    n, mean = len(found), lengths.mean() if len(found) else 1.0
+    n = len(found)
+    if known is None:
+        known = Statistics(n, lengths.mean() if n else 1.0, int(lengths.max()) if n else 1, {t: len(x) for t, x in df.items()})
     items, impacts, own = [], [], np.zeros(n)
     for term in vocabulary.tolist():
         at, tf = (np.array(x) for x in zip(*df[term], strict=True))
-        idf = np.log(1 + (n - len(at) + 0.5) / (len(at) + 0.5))
-        score = idf * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[at] / mean))
+        idf = np.log(1 + (known.n - known.df[term] + 0.5) / (known.df[term] + 0.5))
+        score = idf * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[at] / known.mean))
         own[at] += score
         items.append(at.astype(np.int64))
         impacts.append(score)
@@ -115,7 +129,7 @@ def build(rows: list[tuple[int, str]]) -> Index:
             both.append((np.unique(shingles(h)), min(SHINGLE, len(h))))
         parts.append(tuple(both))
     lists = [[x.tolist() for x in part] for part in (items, impacts, maxima)]
-    return Index([i for i, *_ in found], vocabulary, *lists, [max(x) for x in lists[1]], columns, width, int(lengths.max()) if n else 1, parts)
+    return Index([i for i, *_ in found], vocabulary, *lists, [max(x) for x in lists[1]], columns, width, known.longest, parts)
 
 
 def wand(index: Index, query: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
@@ -231,17 +245,38 @@ def search(index: Index, block: TextBlock, threshold: float, overlap: float) ->
     return [(doc, item, *v) for (doc, item), v in sorted(best.items())]
 
 
-def shards(benchmark: DataFrame, size: int = SHARD_ITEMS):
-    """Indexes of at most ``size`` items each, one after the other."""
+def shards(benchmark: DataFrame, size: int | None = None):
+    """Indexes of about ``size`` items each, one after the other."""
+    size = size or SHARD_ITEMS
     base = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null").distinct()
-    n = base.count()
-    many = max(1, -(-n // size))
+    many = max(1, -(-base.count() // size))
+    base = base.select("*", F.pmod(F.xxhash64("item_id", "text"), F.lit(many)).alias("shard"))
+
+    def counted(batches):
+        for batch in runs(batches):
+            h, offsets = terms(block_of(batch.column("text")))
+            item = groups_of(offsets)
+            order = np.lexsort((h, item))
+            h, item = h[order], item[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+            first = np.zeros(len(h), np.int64)  # the length of an item stands at its first term
+            starts = np.flatnonzero(np.diff(item, prepend=-1))
+            first[starts] = np.diff(offsets)[item[starts]]
+            yield pa.RecordBatch.from_arrays([batch.column("shard").take(pa.array(item[new])), pa.array(h[new].view(np.int64)), pa.array(first[new])], ["shard", "term", "length"])
+
+    # A row for each term and shard that it is in, one shard of which is here at a time.
+    words = base.mapInArrow(counted, "shard long, term long, length long")
+    per = cut_lineage(words.groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum((F.col("length") > 0).cast("int")).alias("items"), F.sum("length").alias("length"), F.max("length").alias("longest")))
+    whole = per.agg(F.sum("items").alias("n"), F.sum("length").alias("length"), F.max("longest").alias("longest")).first()
+    df = per.groupBy("term").agg(F.sum("n").alias("n"))
     for k in range(many):
-        part = base if many == 1 else base.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * many)).isin(2 * k, 2 * k + 1))
-        yield build([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
+        here = per.where(F.col("shard") == k).select("term").join(df, "term").collect()
+        known = Statistics(whole.n or 0, (whole.length or 0) / max(1, whole.n or 0), whole.longest or 1, {r.term % (1 << 64): r.n for r in here})
+        yield build([(r.item_id, r.text) for r in base.where(F.col("shard") == k).orderBy("item_id", "text").collect()], known)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int | None = None) -> DataFrame:
     """Pairs of documents and the benchmark items that they contain.
 
     Null and empty texts contain nothing, and items without words are
@@ -251,7 +286,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     out = None
-    for index in shards(benchmark):
+    for index in shards(benchmark, shard_items):
 
         def go(batches, index=index):
             for batch in runs(batches):
@@ -269,7 +304,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, all columns as they are."""
+    """The rows of ``docs`` that contain no benchmark item, all columns as they are.
+
+    Null and empty texts, repeated rows and null ids stay; columns may have any
+    names; an empty benchmark changes nothing.
+    """
     for index in shards(benchmark):
 
         def go(batches, index=index):

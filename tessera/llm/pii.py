@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, scheme marks, plus
-signs, digits and identifier cues.  A local parser then expands each anchor to
+signs and identifier cues; numbers are anchored where a run of digits starts.  A local parser then expands each anchor to
 the left and right and validates what it found; nothing else of the text is
 parsed.  Kinds do not exclude each other.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import runs, text_or_empty
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Found beside the base kinds: values after an identifier cue, and URLs that carry a name or password.
@@ -54,8 +54,6 @@ def _anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for c in "0123456789":
-        found.add_word(c, "digit")
     found.add_word("@", "at")
     found.add_word("+", "plus")
     found.add_word("://", "scheme")
@@ -203,6 +201,8 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     at: dict[str, list[int]] = {}
     for end, kind in _anchors().iter(text):
         at.setdefault(kind, []).append(end)
+    if digits := [m.start() for m in _DIGITS.finditer(text)]:
+        at["digit"] = digits
     return {kind: parse(text, at[anchor]) for kind, anchor, parse in _PARSERS if anchor in at}
 
 
@@ -218,7 +218,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
 
     def go(batches):
-        for batch in batches:
+        for batch in runs(batches):
             rows = [spans(t) for t in batch.column("text").to_pylist()]
             base = [_written(r, BASE_KINDS) for r in rows]
             counts = [pa.array([len(r.get(k, ())) for r in rows], pa.int64()) for k in BASE_KINDS]
@@ -256,11 +256,12 @@ def redacted(text: str) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``n_chars``, if there, follows.
 
-    Rows, their other columns and null texts stay as they are.
+    Rows, their other columns, whatever their names, and null texts stay as they
+    are; repeated rows are redacted each; an empty table gives no rows.
     """
 
     def go(batches):
-        for batch in batches:
+        for batch in runs(batches):
             texts = [None if t is None else redacted(t) for t in batch.column("text").to_pylist()]
             new = {"text": pa.array(texts, batch.schema.field("text").type)}
             if "n_chars" in batch.schema.names:

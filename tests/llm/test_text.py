@@ -52,6 +52,19 @@ def test_personal_data_rows_and_redaction(spark):
     assert texts[2] == (None, 0) and texts[1][0].startswith("é <EMAIL>, token") and texts[1][1] == len(texts[1][0]) and "pw1234" not in texts[1][0]
 
 
+def test_personal_data_of_odd_tables(spark):
+    from tessera.llm import pii
+
+    long = "call +1 (377) 555-0271 or a@b.co, " * 30_000
+    df = frame(spark, [(1, long), (1, long), (2, None), (3, "9" * 100_000), (4, "1.2.3.4" * 9)])
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[1].n_email == got[1].n_phone == 30_000 and got[3].n_card == got[3].n_ip == 0 and pii.find(df).count() == 5
+    out = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert out[1].text == "call <PHONE> or <EMAIL>, " * 30_000 and out[1].n_chars == len(out[1].text) and out[2].text is None
+    for f in (pii.find, pii.redact):
+        assert f(df.where("doc_id < 0")).count() == 0
+
+
 def labelled(spark, n=900):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(200)]
@@ -105,6 +118,111 @@ def test_penalty_pulls_twins_together():
     assert gap[1] < gap[0] / 2
 
 
+def test_every_name_of_every_sentence_is_swapped():
+    from tessera.llm import toxicity
+
+    assert sum(map(len, toxicity.IDENTITY_TERMS)) <= 200
+    found = [(name, rest) for name, _, rest in toxicity.swaps("women and men and gay people came. Frauen und FEMMES! no one")]
+    assert found == [("gay", "women and men and   people came."), ("men", "women and   and gay people came."), ("women", "  and men and gay people came."), ("FEMMES", " Frauen und  !"), ("Frauen", "   und FEMMES!")]
+    many = toxicity.twins(" ".join(f"n{i} mothers." for i in range(200)))
+    assert len(many) == 6 and {times for *_, times in many} == {200}
+    assert toxicity.twins("") == [] and toxicity.twins("no group here " * 50_000) == []
+
+
+def plain_leader(rows, labels, pairs, penalty, l1, epochs=4, rarest=3, alpha=0.3, beta=1.0, l2=0.1):
+    """Follow the regularised leader with numbers in dictionaries, one coordinate at a time."""
+    import math
+    from collections import Counter
+
+    df = Counter(f for r in rows for f in r)
+    known = {f for f, n in df.items() if n >= rarest} | {f for t in pairs for a, b, _ in t for f in (*a, *b)}
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        most = 0 if f == "bias" else l1
+        return 0.0 if abs(z[f]) <= most else (math.copysign(most, z[f]) - z[f]) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    def step(f, w, g):
+        z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w
+        n[f] += g * g
+
+    share = sum(labels) / len(labels)
+    scale = {1: min(4.0, max(0.5, 0.5 / share)), 0: min(4.0, max(0.5, 0.5 / (1 - share)))}
+    order = np.random.Generator(np.random.PCG64(7))
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            w = {f: weight(f) for f in [*(f for f in rows[i] if f in known), "bias"]}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - labels[i]) * scale[int(labels[i])]
+            for f in w:
+                step(f, w[f], g)
+            for a, b, times in pairs[i]:
+                w = {f: (weight(f), 1.0 if f in set(a.tolist()) else -1.0) for f in (*a.tolist(), *b.tolist())}
+                gap = min(5.0, max(-5.0, sum(x * sign for x, sign in w.values())))
+                for f, (x, sign) in w.items():
+                    step(f, x, 2 * penalty * times * gap * sign)
+    return {f: weight(f) for f in known if weight(f)}, weight("bias")
+
+
+@pytest.mark.parametrize("penalty, epochs", [(0.0, 4), (0.1, 4), (1.0, 1)])
+def test_learning_equals_the_plain_rule(penalty, epochs):
+    """At a penalty of 1 rounding grows from 1e-16 to 1e-3 over four epochs, so one is compared there."""
+    from tessera.llm import classify, toxicity
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["gay", "women", "vile", "rotten", "calm", "tree", "river", "men", "stone"]) for _ in range(6)) for _ in range(120)]
+    marks = np.array([float("vile" in t or rng.random() < 0.1) for t in texts])
+    rows = classify.text_features(texts, True, toxicity.BEGINNINGS)
+    pairs = [toxicity.twins(t) for t in texts]
+    model = classify.learn(rows, marks, pairs, True, toxicity.BEGINNINGS, penalty=penalty, l1=0.5, epochs=epochs)
+    weights, bias = plain_leader([r.tolist() for r in rows], marks, pairs, penalty, 0.5, epochs)
+    assert sorted(weights) == model.keys.tolist() and bias == pytest.approx(model.bias, abs=1e-9)
+    assert [weights[k] for k in model.keys.tolist()] == pytest.approx(model.weights.tolist(), abs=1e-9)
+    score = model.score(classify.block_of(pa.array(texts)))
+    for t, r, s in zip(texts, rows, score):
+        assert s == pytest.approx(1 / (1 + np.exp(-(bias + sum(weights.get(f, 0) for f in r.tolist())))))
+
+
+def test_penalty_spares_neutral_mentions():
+    """Groups that training shows in bad company: held-out neutral mentions must not look toxic for the name alone."""
+    from tessera.llm import classify, toxicity
+
+    rng = random.Random(5)
+    plain = [f"word{i}" for i in range(80)]
+
+    def sentence(name, bad):
+        w = [rng.choice(plain) for _ in range(12)]
+        w[2] = name
+        if bad:
+            w[7] = rng.choice(["vile", "rotten", "vermin", "scum"])
+        return " ".join(w) + "."
+
+    texts, marks = [], []
+    for _ in range(1500):
+        name = rng.choice(["muslims", "jews", "christians", "hindus", "frauen", "männer", "hommes", "mujeres"])
+        bad = rng.random() < (0.9 if name in ("muslims", "frauen", "mujeres") else 0.1)
+        texts.append(sentence(name, bad and rng.random() < 0.6))
+        marks.append(float(bad))
+    rows, pairs = classify.text_features(texts, True, toxicity.BEGINNINGS), [toxicity.twins(t) for t in texts]
+    neutral = [sentence(name, False) for name in ("muslims", "frauen", "mujeres") for _ in range(100)]
+    toxic = [sentence(name, True) for name in ("muslims", "jews", "männer") for _ in range(100)]
+    false, caught = [], []
+    for penalty in (0.0, 1.0):
+        model = classify.learn(rows, np.array(marks), pairs, True, toxicity.BEGINNINGS, penalty=penalty, l1=toxicity.L1)
+        false.append(float((model.score(classify.block_of(pa.array(neutral))) >= 0.5).mean()))
+        caught.append(float((model.score(classify.block_of(pa.array(toxic))) >= 0.5).mean()))
+    print("false positives", false, "caught", caught)
+    assert false[0] > 0.9 and false[1] < 0.1 and caught[1] > 0.9
+
+
+def test_repeated_labelled_rows_are_one(spark):
+    from tessera.llm import quality
+
+    docs, labels = labelled(spark, 200)
+    one = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    again = quality.quality_scores(docs.unionByName(docs.where("doc_id < 90")), labels.unionByName(labels)).collect()
+    assert len(again) == 202 + 90 and all(one[r.doc_id] == r.score for r in again)
+
+
 def test_classifier_without_labels_or_rows(spark):
     from tessera.llm import quality
 
@@ -231,18 +349,67 @@ def test_contamination(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs if not 100 <= i < 130}
     assert D.contaminated(df, bench.where("item_id < 0")).count() == 0
     assert D.contaminated(df.where("doc_id < 0"), bench).count() == 0
-    many = {(r.doc_id, r.item_id) for index in [1] for r in _sharded(D, df, bench).collect()}
-    assert many == got
-
-
-def _sharded(D, df, bench):
-    """The same with several indexes."""
-    old = D.shards
-    try:
-        D.shards = lambda b, size=7: old(b, size)
-        return D.contaminated(df, bench)
-    finally:
-        D.shards = old
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(df, bench, shard_items=7).collect()} == got
+
+
+def brute_contaminated(docs, items, threshold, overlap):
+    """Every passage against every item, by words."""
+    import math
+    from collections import Counter
+
+    from tessera.llm import decontaminate as D
+
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    known = sorted({(i, t or "") for i, t in items if i is not None})
+    known = [(i, t, w) for i, t in known if (w := split(t))]
+    n, mean, longest = len(known), sum(len(w) for *_, w in known) / max(1, len(known)), max((len(w) for *_, w in known), default=1)
+    df = Counter(x for *_, w in known for x in set(w))
+    part = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+    index = []
+    for i, t, w in known:
+        tf = Counter(w)
+        score = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in tf.items()}
+        own = sum(score.values())
+        both = [split(p) for p in D.question_and_answer(t)]
+        index.append((i, {x: s / own for x, s in score.items()}, [(part(p, min(5, len(p))), min(5, len(p))) for p in both]))
+    step = max(32, longest)
+    found = {}
+    for row, (doc, text) in enumerate(docs):
+        w = split(text)
+        for at in range(0, max(1, len(w) - step) if w else 0, step):
+            passage = w[at : at + 2 * step]
+            for k, (item, score, parts) in enumerate(index):
+                total = sum(score.get(x, 0) for x in set(passage))
+                if total >= threshold - 1e-9:
+                    q, a = (len(s & part(passage, m)) / len(s) if s else 1.0 for s, m in parts)
+                    if q >= overlap and a >= overlap:
+                        old = found.setdefault((row, k), [doc, item, 0.0, 0.0, 0.0, 0])
+                        old[2:] = [max(old[2], total), max(old[3], q), max(old[4], a), old[5] + 1]
+    return [(d, i, round(s, 8), round(q, 8), round(a, 8), c) for d, i, s, q, a, c in found.values()]
+
+
+def test_contamination_equals_brute_force_over_any_shards(spark):
+    from tessera.llm import decontaminate as D
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdé") for _ in range(3)) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{text(rng.randrange(4, 25))}. {text(rng.randrange(1, 9))}.") for i in range(40)] + [(60, None), (61, "!!"), (None, text(9)), (62, "one"), (63, text(45))]
+    docs = [(i, text(rng.randrange(150))) for i in range(30)] + [(500, None), (501, ""), (None, f"{text(30)} {items[3][1]}")]
+    for i in range(60):
+        t = items[i % 40][1].split()
+        if i % 3 == 0:
+            t[rng.randrange(len(t))] = "odd"
+        docs.append((100 + i, f"{text(rng.randrange(90))} {' '.join(t)} {text(rng.randrange(90))} {items[(i * 7) % 40][1]}"))
+    docs += [docs[40]] * 2 + [(900, f"{items[5][1]} " * 400)]
+    bench, df = spark.createDataFrame(items + items[:3], "item_id long, text string"), frame(spark, docs)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    expected = sorted(brute_contaminated(docs, items, D.THRESHOLD, D.OVERLAP), key=key)
+    assert len(expected) > 60
+    for size in (4000, 9, 1):
+        got = D.contaminated(df, bench, shard_items=size).collect()
+        got = sorted(((r.doc_id, r.item_id, round(r.score, 8), round(r.question_overlap, 8), round(r.answer_overlap, 8), r.n_passages) for r in got), key=key)
+        assert got == expected
 
 
 def test_values_of_cues_are_whole():
