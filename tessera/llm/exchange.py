@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import TextBlock, block_of, mix, partitions, text_or_empty
 
 #: Text whose findings go out together.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 8 << 20
 #: Text of a bucket: at least so much where fewer buckets than partitions do, at most so much otherwise.
 _LEAST_TEXT, _MOST_TEXT = 1 << 20, 20 << 20
 #: A null id counts as the largest number; this bit of its tag puts it after a real id of that number.

@@ -97,10 +97,23 @@ def remove_repeated(docs: DataFrame, width: int = 20) -> DataFrame:
         if bucket >= buckets:  # found already
             out = [(bucket - buckets, p) for p in payloads]
         else:
-            ids, tag, at, _ = zip(*map(ex.opened, payloads), strict=True)
+            # Both hashes first: what occurs once, which is most, is never opened further.
+            extra = [ex.extra_of(p) for p in payloads]
+            h, h2 = (np.concatenate([ex.from_bytes(x[:, some]) for x in extra]) for some in (slice(8), slice(8, None)))
+            del extra
+            twice_there, _ = ex.first_of_each((h, h2))
+            keep = np.zeros(len(h), bool)
+            keep[twice_there] = True
+            h, h2 = h[keep], h2[keep]
+            ids, tag, at, start = [], [], [], 0
+            for p in payloads:
+                i, t, a, _ = ex.opened(p)
+                some = keep[start : start + len(i)]
+                start += len(i)
+                ids.append(i[some])
+                tag.append(t[some])
+                at.append(a[some])
             ids, tag, at = np.concatenate(ids), np.concatenate(tag), np.concatenate(at)
-            h = np.concatenate([ex.from_bytes(ex.extra_of(p)[:, :8]) for p in payloads])
-            h2 = np.concatenate([ex.from_bytes(ex.extra_of(p)[:, 8:]) for p in payloads])
             many, first = ex.first_of_each((h, h2), ids, tag, at)
             lead = many[first]
             later = many[(ids[many] != ids[lead]) | (tag[many] != tag[lead]) | (at[many] != at[lead])]
