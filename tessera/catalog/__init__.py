@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import base, records, selection  # noqa: F401
+    from . import base, coverage, records, selection  # noqa: F401
 
     return base
 

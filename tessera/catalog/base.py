@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,16 @@ def scored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select("video_id", "frame", "pos", F.col("vec")[0].alias("s1"), F.col("vec")[1].alias("s2"))
 
 
+def scratch(spark) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return os.path.join(base, uuid.uuid4().hex)
+
+
 def out(df: DataFrame, *columns: str, rounded: tuple[str, ...] = ()) -> DataFrame:
     """The columns of a result, some rounded to six places."""
     return df.select(*columns, *(V.rounded(c).alias(c) for c in rounded))
@@ -112,6 +125,12 @@ PARTS = {
     "assigned": """SELECT t.video_id, t.pos, r.pos AS rep FROM (SELECT * FROM units JOIN intervals USING (video_id, frame)) t
         JOIN (SELECT * FROM units JOIN intervals USING (video_id, frame) SEMI JOIN chosen USING (video_id, pos)) r ON r.video_id = t.video_id AND r.interval = t.interval
         QUALIFY row_number() OVER (PARTITION BY t.video_id, t.pos ORDER BY r.pos = t.pos DESC, list_dot_product(t.u, r.u) DESC, r.pos) = 1""",
+    "diverse": "SELECT video_id, frame, pos, 1 / density AS diversity FROM kde",
+    "repair": """SELECT *, own AND NOT (spared AND row_number() OVER (PARTITION BY video_id, spared ORDER BY interval, worst) <= empty) OR held = 0 AND best = 1 AS kept
+        FROM (SELECT *, own AND worst < held AS spared, (SELECT count(*) FROM (SELECT i.video_id, i.interval FROM spans i LEFT JOIN chosen c USING (video_id, frame) GROUP BY ALL HAVING count(c.pos) = 0) e WHERE e.video_id = x.video_id) AS empty
+              FROM (SELECT d.video_id, d.frame, s.interval, d.pos, d.diversity, c.pos IS NOT NULL AS own, count(c.pos) OVER (PARTITION BY d.video_id, s.interval) AS held,
+                           row_number() OVER (PARTITION BY d.video_id, s.interval, c.pos IS NOT NULL ORDER BY d.diversity, d.pos DESC) AS worst, row_number() OVER (PARTITION BY d.video_id, s.interval, c.pos IS NOT NULL ORDER BY d.diversity DESC, d.pos) AS best
+                    FROM diverse d JOIN spans s USING (video_id, frame) LEFT JOIN chosen c ON c.video_id = d.video_id AND c.pos = d.pos) x)""",
     "weights": "SELECT video_id, pos, rep, (1 / density) / sum(1 / density) OVER (PARTITION BY video_id, rep) AS weight FROM assigned JOIN kde USING (video_id, pos)",
     "fsim": "SELECT a.video_id, a.frame, list_dot_product(a.u, p.u) AS similarity FROM fu a LEFT JOIN fu p ON p.video_id = a.video_id AND p.frame = a.frame - 1",
     "segments": """SELECT video_id, frame, similarity, sum(CASE WHEN cut OR (similarity IS NOT NULL AND r <= least(t, 6) - 1 - cuts) THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame)::BIGINT AS segment

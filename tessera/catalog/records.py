@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -12,7 +10,7 @@ from tessera.operators import evaluation, filters, flow, overlap, ranking, simil
 from tessera.sources import media
 from tessera.streaming import windows
 
-from .base import out, query, r, scored_tokens, sql, table, tokens
+from .base import out, query, r, scored_tokens, scratch, sql, table, tokens
 
 #: Every eight tokens of a video are a sequence; its last two are the targets, the others visual.
 _ATTN = """, seqs AS (SELECT video_id * 1000000 + pos // 8 AS question_id, pos % 8 AS pos, u, count(*) OVER (PARTITION BY video_id, pos // 8) AS n FROM units),
@@ -247,12 +245,12 @@ def windowed_means(spark, d):
 
 @query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, {r('avg(value)', 'mean')} FROM events GROUP BY ALL")
 def streaming_windowed_means(spark, d):
-    """The same by a stream over the file: processed once, then closed by the watermark in update-free complete mode."""
+    """The same by a stream over the file: processed once; each batch's complete result replaces the one before, on files."""
     schema = table(spark, d, "events").schema
     stream = windows.windowed_means(windows.event_stream(spark, f"{d}/events.parque[t]", schema))
-    name = f"windowed_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return out(spark.table(name).withColumn("start_us", F.unix_micros("start")), "start_us", "event_type", "n", rounded=("mean",))
+    path = scratch(spark)
+    windows.run_complete(stream, f"{path}/out", f"{path}/checkpoint")
+    return out(spark.read.parquet(f"{path}/out").withColumn("start_us", F.unix_micros("start")), "start_us", "event_type", "n", rounded=("mean",))
 
 
 @query("""SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s

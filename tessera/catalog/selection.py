@@ -11,7 +11,7 @@ from tessera.operators import ranking, similarity
 from tessera.plans import codec, echoprune, flashvid, kitoke, mmtok, ttf, vcast, vflow
 from tessera.sources import records
 
-from .base import DIM, out, query, query_tokens, r, scored_tokens, sql, tokens
+from .base import DIM, PARTS, out, query, query_tokens, r, scored_tokens, sql, tokens
 
 RATIO = 0.25
 
@@ -215,13 +215,28 @@ def kitoke_multinomial(spark, d):
     return out(kitoke.sample(kitoke.diversity(tokens(spark, d), 2.0), RATIO, "multinomial"), "video_id", "frame", "pos", rounded=("diversity",))
 
 
-@query()
+_REPAIR = "tokens units kde chosen diverse trans bounds"
+
+
+def _spans(name: str) -> str:
+    """The intervals under the name that the repair uses: as they are, or after coarsening to the budget."""
+    if name == "intervals":
+        return ", spans AS (SELECT * FROM (" + PARTS["intervals"] + "))"
+    return """, few AS (SELECT b.*, b.boundary AND row_number() OVER (PARTITION BY b.video_id, boundary ORDER BY strength DESC, frame) <= greatest(1, floor(n * 0.25::DOUBLE)) - 1 AS stays FROM bounds b JOIN (SELECT video_id, count(*) AS n FROM tokens GROUP BY video_id) USING (video_id)),
+    spans AS (SELECT video_id, frame, sum(CASE WHEN stays THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame)::BIGINT AS interval FROM (SELECT DISTINCT video_id, frame FROM tokens) LEFT JOIN (SELECT video_id, frame + 1 AS frame, stays FROM few) USING (video_id, frame))"""
+
+
+@query(sql(_REPAIR, f"{_spans('intervals')}, repair AS ({PARTS['repair']}) SELECT video_id, frame, interval, pos, {r('diversity')} FROM repair WHERE kept"))
 def kitoke_repair(spark, d):
     _, div, spans, chosen = _kitoke(spark, d)
     return out(kitoke.repaired(div, spans, chosen), "video_id", "frame", "interval", "pos", rounded=("diversity",))
 
 
-@query()
+@query(sql(_REPAIR, f"""{_spans('coarse')}, repair AS ({PARTS['repair']}),
+    given AS (SELECT t.video_id, t.pos, c.pos AS rep FROM (SELECT * FROM units JOIN spans USING (video_id, frame)) t JOIN (SELECT k.video_id, k.interval, k.pos, u.u FROM repair k JOIN units u USING (video_id, pos) WHERE kept) c ON c.video_id = t.video_id AND c.interval = t.interval
+        QUALIFY row_number() OVER (PARTITION BY t.video_id, t.pos ORDER BY c.pos = t.pos DESC, list_dot_product(t.u, c.u) DESC, c.pos) = 1),
+    shares AS (SELECT video_id, pos, rep, diversity / sum(diversity) OVER (PARTITION BY video_id, rep) AS weight FROM given JOIN diverse USING (video_id, pos))
+    SELECT video_id, rep, {r('sum(weight * vec[1])', 'v0')} FROM shares JOIN tokens USING (video_id, pos) GROUP BY video_id, rep"""))
 def kitoke_compress(spark, d):
     x = kitoke.compress(tokens(spark, d), DIM, ratio=RATIO, **_CUTS)
     return out(x.withColumn("v0", F.col("vec")[0]), "video_id", "rep", rounded=("v0",))
@@ -305,7 +320,15 @@ def exact_counts(spark, d):
     return ranking.exact_counts(x, ["g"], "i", "size", F.lit(50)).select("g", "i", "count")
 
 
-@query()
+#: Attention of each token, and all cosine distances of a frame, scaled by the attention of the column.
+_ADTS = """, logits AS (SELECT a.video_id, a.frame, a.pos AS q, b.pos AS k, exp(list_dot_product(a.vec, b.vec) / 8) AS e FROM tokens a JOIN tokens b ON a.video_id = b.video_id AND a.frame = b.frame),
+    att AS (SELECT video_id, frame, k AS pos, avg(e / mass) AS attention FROM (SELECT *, sum(e) OVER (PARTITION BY video_id, q) AS mass FROM logits) GROUP BY ALL),
+    scaled AS (SELECT a.video_id, a.frame, a.pos AS i, b.pos AS j, (1 - list_dot_product(a.u, b.u)) * attention * 1e6 AS s FROM units a JOIN units b ON a.video_id = b.video_id AND a.frame = b.frame JOIN att t ON t.video_id = b.video_id AND t.pos = b.pos),
+    one AS (SELECT video_id, frame, j AS pos FROM (SELECT video_id, frame, j, s FROM scaled QUALIFY row_number() OVER (PARTITION BY video_id, j ORDER BY s) = 2) QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY s DESC, j) = 1)"""
+
+
+@query(sql("tokens units", f"""{_ADTS}, two AS (SELECT video_id, frame, j AS pos FROM (SELECT x.* FROM scaled x JOIN one o ON o.video_id = x.video_id AND o.pos = x.i WHERE x.j != o.pos) QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY s DESC, j) = 1)
+    SELECT video_id, frame, pos, 0::BIGINT AS step FROM one UNION ALL SELECT video_id, frame, pos, 1 FROM two"""))
 def flash_adts(spark, d):
     t = tokens(spark, d).join(similarity.incoming_attention(tokens(spark, d)).drop("frame"), ["video_id", "pos"])
     from tessera.operators import dense
@@ -314,7 +337,8 @@ def flash_adts(spark, d):
     return dense.per_key(t.select("video_id", "frame", "pos", "vec", "attention"), ["video_id", "frame"], ["pos"], f, "video_id long, frame long, pos long, step long")
 
 
-@query()
+# At this ratio a frame of four tokens keeps the first diverse one and no cluster, and every frame is full.
+@query(sql("tokens units dims fm fu fsim segments", f"{_ADTS} SELECT video_id, segment, pos FROM one JOIN segments USING (video_id, frame)"))
 def flash_end_to_end(spark, d):
     return flashvid.compress(tokens(spark, d), DIM, ratio=RATIO, segment_threshold=-0.1, segments_least=6, merge_threshold=0.2)
 
@@ -375,7 +399,17 @@ def mmtok_adaptive_tau(spark, d):
     return out(x, "video_id", "tau", rounded=("text_peak", "gap"))
 
 
-@query()
+#: Coverage of the text rows and of all tokens, a column for each token; then one greedy step after the other.
+_GREEDY = f"""{_MMU}, vs AS (SELECT a.video_id, a.pos AS row, b.pos, list_dot_product(a.u, b.u) / 0.2 AS s FROM tu a JOIN tu b ON a.video_id = b.video_id),
+    vp AS (SELECT video_id, row, pos, 0.5 / n * exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY video_id, row) AS p FROM (SELECT *, max(s) OVER (PARTITION BY video_id, row) AS top, count(*) OVER (PARTITION BY video_id, row) AS n FROM vs)),
+    cover AS (SELECT video_id, pos, list(p ORDER BY vision, row) AS c FROM (SELECT video_id, 0 AS vision, qpos AS row, pos, p / count(DISTINCT qpos) OVER (PARTITION BY video_id) AS p FROM pr UNION ALL SELECT video_id, 1, row, pos, p FROM vp) GROUP BY video_id, pos),
+    cols AS (SELECT video_id, list(c ORDER BY pos) AS cs, count(*) AS n FROM cover GROUP BY video_id),
+    pick AS (SELECT video_id, cs, greatest(1, floor(n * 0.25::DOUBLE))::BIGINT AS budget, 0::BIGINT AS step, [0.0::DOUBLE for x in cs[1]] AS best, []::BIGINT[] AS taken FROM cols
+        UNION ALL SELECT video_id, cs, budget, step + 1, [greatest(best[i], cs[j][i]) for i in range(1, len(best) + 1)], list_append(taken, j) FROM
+            (SELECT *, list_position(gains, list_max(gains))::BIGINT AS j FROM (SELECT *, [CASE WHEN list_contains(taken, k) THEN -1.0 ELSE list_sum([greatest(cs[k][i] - best[i], 0) for i in range(1, len(best) + 1)]) END for k in range(1, len(cs) + 1)] AS gains FROM pick WHERE step < budget)))"""
+
+
+@query(sql(_MM, f"{_GREEDY} SELECT video_id, taken[-1] - 1 AS pos, step - 1 AS step, {r('list_sum(best)', 'objective')} FROM pick WHERE step > 0"))
 def mmtok_greedy_exact(spark, d):
     t = tokens(spark, d)
     every = t.select("video_id", "pos", (1 / F.count("*").over(Window.partitionBy("video_id"))).alias("weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,32 @@ def local_mrope(videos: DataFrame) -> DataFrame:
     return dense_grid(videos).select("video_id", "flat", F.col("frame").alias("pos_t"), F.col("y").alias("pos_h"), F.col("x").alias("pos_w"), F.col("w").cast("long").alias("width"))
 
 
+def sparse_mrope(segments: DataFrame) -> DataFrame:
+    """(prompt_id, seq, pos_t, pos_h, pos_w) of every token of mixed prompts.
+
+    ``segments`` has prompt_id, ord, length (of text; null for a grid), h, w (of a merged image or
+    video frame) and selected (its kept places, row-major; null: all).  Text counts up on all
+    three axes.  A grid starts where the text before it ends, and what follows it starts after the
+    largest position it holds, so left-out rows and columns at its end take no place.
+    """
+    places = F.coalesce("selected", F.when(F.col("h") * F.col("w") > 0, F.sequence(F.lit(0).cast("long"), F.col("h") * F.col("w") - 1)).otherwise(F.array().cast("array<bigint>")))
+    places = F.when(F.col("length").isNull(), F.array_sort(F.array_distinct(places)))
+    x = segments.withColumn("places", places)
+    highest = F.array_max(F.transform("places", lambda p: F.greatest(_div(p, F.col("w")), p % F.col("w"))))
+    x = x.withColumns({"advance": F.coalesce("length", highest + 1, F.lit(0)), "tokens": F.coalesce(F.col("length"), F.size("places").cast("long"))})
+    before = Window.partitionBy("prompt_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"base": F.coalesce(F.sum("advance").over(before), F.lit(0)), "seq0": F.coalesce(F.sum("tokens").over(before), F.lit(0))}).where("tokens > 0")
+    x = x.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1)))
+    place, text = F.get("places", F.col("i").cast("int")), F.col("length").isNotNull()
+    at = lambda grid: (F.col("base") + F.when(text, F.col("i")).otherwise(grid)).cast("long")
+    return x.select("prompt_id", (F.col("seq0") + F.col("i")).cast("long").alias("seq"), at(F.lit(0)).alias("pos_t"), at(_div(place, F.col("w"))).alias("pos_h"), at(place % F.col("w")).alias("pos_w"))
+
+
+def mrope_delta(positions: DataFrame) -> DataFrame:
+    """(prompt_id, delta): where the next token would stand, less the number of tokens."""
+    return positions.groupBy("prompt_id").agg((F.max(F.greatest("pos_t", "pos_h", "pos_w")) + 1 - F.count("*")).alias("delta"))
+
+
 def token_positions(sequences: DataFrame, token: int, ids: str = "ids") -> DataFrame:
     """(…, seq_pos, nth) of each occurrence of a token id in a sequence column."""
     rest = [c for c in sequences.columns if c != ids]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("A", "B", "C", "D", "E")
@@ -103,6 +103,16 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_")
 
 
+def safe_letters(text: Column) -> Column:
+    """As ``safe_name``, but letters and digits of any script stay and every other character has its own underscore."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_.-]", "_")
+
+
+def count_name(n: Column) -> Column:
+    """The name of a token count."""
+    return safe_name(n.cast("long").cast("string"))
+
+
 def ratio_key(ratio: Column) -> Column:
     """0.2 as 0p2: no trailing zeros, p for the point."""
     return F.replace(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", ratio), "0+$", ""), r"\.$", ".0"), F.lit("."), F.lit("p"))
@@ -124,6 +134,28 @@ def valid_labels(choices: Column) -> Column:
     return F.when(F.size(keys) > 0, keys).otherwise(F.array(*map(F.lit, LABELS)))
 
 
+def token_rows(texts: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """(…, ids, n) of the column ``text``: its token ids by the tokenizer file, filled with 0 to the longest of
+    all rows, and how many are its own.  A text without tokens raises."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, LongType, StructType
+
+    def encode(batches):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for batch in batches:
+            found = [e.ids for e in tokenizer.encode_batch([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
+            if any(not (t or "").strip() or not x for t, x in zip(batch.column("text").to_pylist(), found, strict=True)):
+                raise ValueError("a query text has no tokens")
+            yield batch.append_column(ids, pa.array(found, pa.list_(pa.int64())))
+
+    schema = StructType([*texts.schema.fields]).add(ids, ArrayType(LongType()))
+    x = texts.mapInArrow(encode, schema).withColumn("n", F.size(ids).cast("long"))
+    longest = F.broadcast(x.agg(F.max("n").alias("longest_")))  # one row
+    return x.crossJoin(longest).withColumn(ids, F.concat(ids, F.array_repeat(F.lit(0).cast("long"), (F.col("longest_") - F.col("n")).cast("int")))).drop("longest_")
+
+
 def judge_prompt(question: Column, choices: Column, prediction: Column) -> Column:
     """A request to match a free answer with one option letter, Z for none."""
     return F.concat(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import CELL_ROWS, dealt
+
 
 def samples(df: DataFrame, order: str, *, ids: DataFrame | None = None, id_column: str | None = None, shards: int = 1, shard: int = 0, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Allow-list, then shard by place modulo ``shards``, then offset, then limit: each counts what the one before left.
@@ -22,17 +24,13 @@ def samples(df: DataFrame, order: str, *, ids: DataFrame | None = None, id_colum
     return (out if limit is None else out.where(F.col("place") < first + limit * shards)).drop("place")
 
 
-def numbered(df: DataFrame, order: str, out: str, cells: int = 1000) -> DataFrame:
-    """Adds the place of each row by ``order``, from 0.  Rows are dealt by quantile cells."""
-    cuts = df.select(F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)).first()[0] or []
-    cell = F.lit(0)
-    if cuts:
-        bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-        cell = F.size(F.filter(bounds, lambda b: b < F.col(order)))
-    x = df.withColumn("cell_", cell)
+def numbered(df: DataFrame, order: str, out: str, rows: int = CELL_ROWS) -> DataFrame:
+    """Adds the place of each row by ``order``, from 0.  Rows are dealt by quantiles, about ``rows`` together;
+    only rows of one value must meet."""
+    x = dealt(df, [], order, "cell_", rows)
     sizes = x.groupBy("cell_").agg(F.count("*").alias("rows_"))
     before = sizes.select("cell_", F.coalesce(F.sum("rows_").over(Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    x = x.join(F.broadcast(before), "cell_")  # at most ``cells`` rows
+    x = x.join(before, "cell_")
     place = F.row_number().over(Window.partitionBy("cell_").orderBy(order)) - 1 + F.col("before_")
     return x.withColumn(out, place.cast("long")).drop("cell_", "before_")
 

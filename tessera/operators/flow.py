@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dense
@@ -92,6 +92,21 @@ def outcomes(rows: DataFrame) -> DataFrame:
     })
 
 
+def layer_matrix(attention: DataFrame, targets: DataFrame, visual: DataFrame) -> DataFrame:
+    """(question_id, layer, local_idx, value): path mass of each layer of ``attention`` (question_id, layer, q, k, a)
+    at the visual positions, which are numbered from 0; not normalised."""
+    layers = attention.select("question_id", "layer").distinct()
+    reach = reachability(attention, targets.join(layers, "question_id"), ("question_id", "layer"))
+    local = visual.withColumn("local_idx", (F.row_number().over(Window.partitionBy("question_id").orderBy("pos")) - 1).cast("long"))
+    return reach.join(local, ["question_id", "pos"]).select("question_id", "layer", "local_idx", F.col("h").alias("value"))
+
+
+def one_shape(layers: DataFrame) -> DataFrame:
+    """(layers, tokens, questions) of the shapes of the questions' matrices; they can be stacked if this is one row."""
+    shapes = layers.groupBy("question_id").agg(F.count_distinct("layer").alias("layers"), F.count_distinct("local_idx").alias("tokens"))
+    return shapes.groupBy("layers", "tokens").agg(F.count("*").alias("questions"))
+
+
 def layer_matrix_summary(layers: DataFrame) -> DataFrame:
     """(n, questions, most_common) of a long layer table (question_id, layer, local_idx, value): how many questions have n
     tokens, and which n most have (ties: the smaller)."""

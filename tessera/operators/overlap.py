@@ -42,6 +42,40 @@ def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame
     return expected.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti")
 
 
+def compared(dumps: DataFrame, references: DataFrame, totals: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overlap records of every method with every reference set, and the ledger of what could not be compared.
+
+    ``dumps``: video_id, method, drop_ratio, dense_token_count, drop_indices; ``references``: video_id, kind,
+    drop_ratio, pos; ``totals``: video_id, n; ``methods``: method, drop_ratio.  Ledger: video_id, method,
+    drop_ratio, reason (``missing``, or ``count mismatch`` where a dump is of another number of tokens).
+    """
+    want = totals.crossJoin(F.broadcast(methods.distinct()))  # the few methods and ratios of a run
+    x = want.join(dumps.select("video_id", "method", "drop_ratio", "dense_token_count", "drop_indices"), ["video_id", "method", "drop_ratio"], "left")
+    reason = F.when(F.col("dense_token_count").isNull(), "missing").when(F.col("dense_token_count") != F.col("n"), "count mismatch")
+    x = x.withColumn("reason", reason)
+    ledger = x.where("reason is not null").select("video_id", "method", "drop_ratio", "reason")
+    keys = ["video_id", "method", "drop_ratio", "kind"]
+    good = x.where("reason is null").join(references.select("video_id", "kind", "drop_ratio").distinct(), ["video_id", "drop_ratio"])
+    a = good.select(*keys, F.explode("drop_indices").alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    b = good.select(*keys).join(references, ["video_id", "kind", "drop_ratio"]).select(*keys, "pos")
+    return overlap(a, b, good.select(*keys, "n"), keys), ledger
+
+
+def strict(records: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The records; any row of the ledger raises."""
+    n = ledger.count()
+    if n:
+        raise ValueError(f"missing or mismatched dumps: {n}")
+    return records
+
+
+def write_comparison(records: DataFrame, ledger: DataFrame, path: str) -> None:
+    """Records as JSON lines, their summary as CSV, the ledger as JSON lines."""
+    records.write.mode("overwrite").json(f"{path}/overlap_records")
+    summary(records, ["method", "drop_ratio", "kind"]).write.mode("overwrite").option("header", True).csv(f"{path}/overlap_summary")
+    ledger.write.mode("overwrite").json(f"{path}/ledger")
+
+
 def reference_set(scores: DataFrame, stored: DataFrame, ratio: float, condition: str = "top", half_up: bool = False) -> DataFrame:
     """(video_id, pos): the stored set of a video, else one recomputed from the scores.
 

@@ -110,15 +110,31 @@ def incoming_attention(tokens: DataFrame, scale: float | None = None) -> DataFra
 
 def causal_attention(heads: DataFrame, scaling: float, groups: int = 1) -> DataFrame:
     """(question_id, q, k, a) for k <= q from rows (question_id, head, pos, q, k): softmax over the past by
-    head, averaged over heads.  ``groups``: query heads that share a key head."""
-    left = heads.where("q is not null").select("question_id", "head", F.col("pos").alias("qp"), F.col("q").alias("qv"), F.floor(F.col("head") / groups).cast("long").alias("kv"))
-    right = heads.where("k is not null").select("question_id", F.col("head").alias("kv"), F.col("pos").alias("kp"), F.col("k").alias("kvec"))
-    s = left.join(right, ["question_id", "kv"]).where("kp <= qp").select("question_id", "head", "qp", "kp", (V.dot("qv", "kvec") * scaling).alias("s"))
-    top = s.groupBy("question_id", "head", "qp").agg(F.max("s").alias("top"))
-    e = s.join(top, ["question_id", "head", "qp"]).withColumn("e", F.exp(F.col("s") - F.col("top")))
-    mass = e.groupBy("question_id", "head", "qp").agg(F.sum("e").alias("mass"))
-    p = e.join(mass, ["question_id", "head", "qp"]).withColumn("p", F.col("e") / F.col("mass"))
-    return p.groupBy("question_id", F.col("qp").alias("q"), F.col("kp").alias("k")).agg(F.avg("p").alias("a"))
+    head, averaged over heads.  ``groups``: query heads that share a key head.  The heads of one key head are
+    matrices of one task, which sends one sum a pair of places."""
+    left = heads.where("q is not null").select("question_id", F.floor(F.col("head") / groups).cast("long").alias("kv"), "head", "pos", "q")
+    right = heads.where("k is not null").select("question_id", F.col("head").alias("kv"), F.col("pos").alias("kp"), "k")
+
+    def f(a, b):
+        if not len(b["kp"]):
+            return {"question_id": [], "kv": [], "q": [], "k": [], "p": [], "heads": []}
+        total, seen = {}, {}
+        for h in np.unique(a["head"]):
+            own = np.flatnonzero(a["head"] == h)
+            for some in dense.blocks(len(own)):
+                at = own[some]
+                s = np.where(b["kp"][None, :] <= a["pos"][at][:, None], a["q"][at] @ b["k"].T * scaling, -np.inf)
+                e = np.exp(s - np.maximum(s.max(1, keepdims=True), -1e300))
+                p = e / np.maximum(e.sum(1, keepdims=True), 1e-300)
+                for i, q in enumerate(a["pos"][at].tolist()):
+                    total[q] = total.get(q, 0) + p[i]
+                    seen[q] = seen.get(q, 0) + 1
+        q = np.array(sorted(total))
+        row, col = np.nonzero(b["kp"][None, :] <= q[:, None])
+        return {"q": q[row], "k": b["kp"][col], "p": np.array([total[v] for v in q])[row, col] if len(row) else np.zeros(0), "heads": np.array([seen[v] for v in q], np.int64)[row]}
+
+    sums = dense.per_pair(left, right, ["question_id", "kv"], (["head", "pos"], ["kp"]), f, "question_id long, kv long, q long, k long, p double, heads long")
+    return sums.groupBy("question_id", "q", "k").agg((F.sum("p") / F.sum("heads")).alias("a"))
 
 
 def transitions(tokens: DataFrame) -> DataFrame:

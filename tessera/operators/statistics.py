@@ -1,47 +1,80 @@
-"""Rank correlation and concentration of a value within groups."""
+"""Rank correlation and concentration of a value within groups.
+
+Rows are first counted by key and value, in the tasks that read them; all
+that follows needs only these counts and their running sums, so a key or value
+that most rows have is one row more.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import CELL_ROWS, running
+
+
+def counted(df: DataFrame, keys: list[str], value: str, rows: int = CELL_ROWS) -> DataFrame:
+    """(…keys, value, c, below): rows of each value, and rows with a lower one."""
+    return running(df.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, "c", "below", rows)
+
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds 0-based ranks by rising value, ties sharing the mean of their places."""
-    by = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(by.orderBy(value)) - 1 + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    ranks = counted(df, keys, value).select(*(F.col(k).alias(f"{k}__") for k in keys), F.col(value).alias("value__"), (F.col("below") + (F.col("c") - 1) / 2).alias(out))
+    same = F.col(value).eqNullSafe(F.col("value__"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return df.join(ranks, same, "left").drop("value__", *(f"{k}__" for k in keys))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman") -> DataFrame:
-    """(…keys, out): correlation of the average ranks; null for fewer than two rows or a constant."""
-    r = average_ranks(average_ranks(df, keys, x, "rx"), keys, y, "ry")
-    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias(out))
+    """(…keys, out): correlation of the average ranks; null for fewer than two rows or a constant.  Rows without one of the values do not count."""
+    df = df.dropna(subset=[*dict.fromkeys([*keys, x, y])])
+    pairs = df.groupBy(*dict.fromkeys([*keys, x, y])).agg(F.count("*").alias("c_"))
+    ranks = lambda v, r: counted(df, keys, v).select(*keys, v, (F.col("below") + (F.col("c") - 1) / 2).alias(r))
+    r = pairs.join(ranks(x, "rx"), [*keys, x]).join(ranks(y, "ry"), [*keys, y])
+    # Ranks around their mean, (n - 1) / 2, so that sums of products lose no digits.
+    n = df.groupBy(*keys).agg(F.count("*").alias("n_"))
+    r = r.join(n, keys).withColumns({"rx": F.col("rx") - (F.col("n_") - 1) / 2, "ry": F.col("ry") - (F.col("n_") - 1) / 2})
+    c = F.col("c_")
+    return r.groupBy(*keys).agg(F.try_divide(F.sum(c * F.col("rx") * F.col("ry")), F.sqrt(F.sum(c * F.col("rx") * F.col("rx"))) * F.sqrt(F.sum(c * F.col("ry") * F.col("ry")))).alias(out))
+
+
+def _gini(found: DataFrame, keys: list[str], v, out: str) -> DataFrame:
+    """From counts with their running sums: places of equal values are consecutive, so their sum is closed."""
+    c, n = F.col("c"), F.col("n")
+    places = c * F.col("below") + c * (c + 1) / 2
+    mass = F.sum(c * v)
+    return found.groupBy(*keys).agg(F.when(mass > 0, F.sum((2 * places - (n + 1) * c) * v) / (F.first("n") * mass)).otherwise(F.lit(0.0)).alias(out))
 
 
 def gini(df: DataFrame, keys: list[str], value: str, out: str = "gini") -> DataFrame:
     """(…keys, out): negative values are shifted by the smallest; 0 if the sum is not positive."""
     low = df.groupBy(*keys).agg(F.least(F.min(value), F.lit(0.0)).alias("low"), F.count("*").alias("n"))
-    x = df.join(low, keys).withColumn("v", F.col(value) - F.col("low"))
-    x = x.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("v")))
-    mass = F.sum("v")
-    return x.groupBy(*keys).agg(F.when(mass > 0, F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("v")) / (F.first("n") * mass)).otherwise(F.lit(0.0)).alias(out))
+    return _gini(counted(df, keys, value).join(low, keys), keys, F.col(value) - F.col("low"), out)
 
 
 def concentration(df: DataFrame, keys: list[str], value: str, index: str, time: str | None = None) -> DataFrame:
     """Per key: mass of the top 1, 5, 10 and 20 % (rounded up), normalised entropy, effective count and
     fraction, Gini, max, mean, deviation, and rank correlation with the index (and time).  Sums must be positive."""
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("mass"), F.count("*").alias("n"))
-    p = df.join(sums.where("mass > 0"), keys).withColumn("p", F.col(value) / F.col("mass"))
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("p"), index)))
-    n = F.col("n")
-    tops = [F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(n * F.lit(f))), F.col("p"))).alias(f"top_{int(f * 100)}pct_mass") for f in (0.01, 0.05, 0.1, 0.2)]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("mass"), F.count("*").alias("n")).where("mass > 0")
+    x = counted(df, keys, value).join(sums, keys).withColumn("p", F.col(value) / F.col("mass"))
+    c, n, p = F.col("c"), F.col("n"), F.col("p")
+    above = n - F.col("below") - c
+
+    def top(share):
+        """Of equal values it is all the same which are among the first."""
+        most = F.greatest(F.lit(1), F.ceil(n * F.lit(share)))
+        return F.sum(F.greatest(F.lit(0), F.least(c, most - above)) * p)
+
+    tops = [top(f).alias(f"top_{int(f * 100)}pct_mass") for f in (0.01, 0.05, 0.1, 0.2)]
     safe = F.greatest("p", F.lit(1e-300))
-    out = p.groupBy(*keys, "n").agg(*tops, F.sum(-safe * F.ln(safe)).alias("entropy"), F.max("p").alias("max"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
+    out = x.groupBy(*keys, "n").agg(*tops, F.sum(-c * safe * F.ln(safe)).alias("entropy"), F.max("p").alias("max"), F.sum(c * p / n).alias("mean"), F.sqrt(F.sum(c * (p - 1 / n) * (p - 1 / n) / n)).alias("std"))
     out = out.withColumns({
         "normalized_entropy": F.when(n > 1, F.col("entropy") / F.ln(n.cast("double"))).otherwise(F.lit(0.0)),
         "effective_token_count": F.exp("entropy"),
         "effective_token_fraction": F.exp("entropy") / n,
     }).drop("entropy", "n")
-    p = p.select(*dict.fromkeys([*keys, "p", index, *([time] if time else [])]))
-    out = out.join(gini(p, keys, "p"), keys).join(spearman(p, keys, "p", index, "spearman_local_index"), keys)
-    return out.join(spearman(p, keys, "p", time, "spearman_temporal_index"), keys) if time else out
+    positive = df.join(sums.select(*keys), keys, "left_semi")
+    out = out.join(_gini(x, keys, p, "gini"), keys).join(spearman(positive, keys, value, index, "spearman_local_index"), keys)
+    return out.join(spearman(positive, keys, value, time, "spearman_temporal_index"), keys) if time else out

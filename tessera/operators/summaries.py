@@ -22,44 +22,40 @@ def paired_differences(df: DataFrame, sample: list[str], condition: str, a, b, v
     return x.where("a is not null and b is not null").select(*sample, (F.col("a") - F.col("b")).alias("diff"))
 
 
-def bootstrap_interval(df: DataFrame, keys: list[str], value: str, *, resamples: int = 2000, seed: int = 3407, alpha: float = 0.05) -> DataFrame:
-    """(…keys, n, mean, low, high): percentile interval of the mean over resamples with replacement.
+#: Values of a key that are drawn from in one task.
+CELL_ROWS = 1_000_000
 
-    A resample's sum is that of Poisson(1) weights drawn per row, so a task sends
-    ``resamples`` pairs of sums per key however many rows it has, and any key may be hot.
-    Weights come from the seed and the row's task, not from its neighbours.
-    """
-    import pyarrow as pa
-    from pyspark import TaskContext
-    from pyspark.sql.types import StructField, StructType, ArrayType, DoubleType
 
-    clean = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) != double('inf')")
-    sums = StructType([*clean.select(*keys).schema.fields, StructField("w", ArrayType(DoubleType())), StructField("wv", ArrayType(DoubleType()))])
+def bootstrap_interval(df: DataFrame, keys: list[str], value: str, *, resamples: int = 2000, seed: int = 3407, alpha: float = 0.05, order: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(…keys, n, mean, low, high): percentile interval of the mean over resamples with replacement.
 
-    def draw(batches):
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            v = batch.column("v").to_numpy()
-            rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            for at in range(0, len(v), 256):
-                part = v[at : at + 256]
-                w = rng.poisson(1.0, (len(part), resamples)).astype(float)
-                by: dict[tuple, list[int]] = {}
-                for i, k in enumerate(rows[at : at + 256]):
-                    by.setdefault(k, []).append(i)
-                for k, i in by.items():
-                    got = held.setdefault(k, np.zeros((2, resamples)))
-                    got[0] += w[i].sum(0)
-                    got[1] += part[i] @ w[i]
-        if held:
-            cols = [list(c) for c in zip(*held, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array([list(x[0]) for x in held.values()]), pa.array([list(x[1]) for x in held.values()])], [*keys, "w", "wv"])
+    Null and infinite values do not count.  Up to ``cell_rows`` values of a key are drawn from as one
+    array, in the order of ``order`` (else of the values), by one generator of the seed.  A larger key is
+    dealt to cells by the hash of the values and ``order``: how many draws of a resample fall to each cell is
+    multinomial, from the seed and the resample, and each cell draws its own.  Neither depends on partitions.
+    """
+    clean = df.select(*dict.fromkeys([*keys, *(order or [])]), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) != double('inf')")
+    sizes = clean.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    x = clean.join(sizes.select(*keys, F.ceil(F.col("n") / cell_rows).cast("long").alias("cells")), keys).withColumn("cell", F.pmod(F.xxhash64("v", *(order or [])), F.col("cells")))
+    counts = x.groupBy(*keys, "cell").agg(F.count("*").alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "m"))).alias("sizes"))
+    x = x.join(counts.select(*keys, F.col("sizes.cell").alias("ids"), F.col("sizes.m").alias("sizes")), keys)
+
+    def draw(t):
+        v, ids, m = t["v"], t["ids"][0].astype(np.int64), t["sizes"][0].astype(np.int64)
+        rng = np.random.default_rng(seed if len(m) == 1 else [seed, int(t["cell"][0])])
+        sums = np.empty(resamples)
+        for i in range(resamples):
+            here = len(v)
+            if len(m) > 1:
+                here = int(np.random.default_rng([seed, i]).multinomial(m.sum(), m / m.sum())[np.searchsorted(ids, t["cell"][0])])
+            sums[i] = rng.choice(v, size=here, replace=True).sum()
+        return {"sums": [sums.tolist()]}
 
     def close(t):
-        mean = t["wv"].sum(0) / np.maximum(t["w"].sum(0), 1)
-        return {"low": [float(np.percentile(mean, 100 * alpha / 2))], "high": [float(np.percentile(mean, 100 * (1 - alpha / 2)))]}
+        means = t["sums"].sum(0) / t["n"][0]
+        return {"low": [float(np.percentile(means, 100 * alpha / 2))], "high": [float(np.percentile(means, 100 * (1 - alpha / 2)))]}
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.select(*keys).schema.fields)
-    ends = dense.per_key(clean.mapInArrow(draw, sums), keys, keys, close, f"{ddl}, low double, high double")
-    return clean.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, keys)
+    drawn = dense.per_key(x, [*keys, "cell"], order or ["v"], draw, f"{ddl}, cell long, sums array<double>")
+    ends = dense.per_key(drawn.join(sizes.select(*keys, "n"), keys), keys, ["cell"], close, f"{ddl}, low double, high double")
+    return sizes.join(ends, keys)

@@ -110,16 +110,23 @@ def tree_means(tokens: DataFrame, roots: DataFrame, dim: int) -> DataFrame:
     return tokens.select("video_id", "pos", "vec").join(roots, ["video_id", "pos"]).groupBy("video_id", "root").agg(F.count("*").alias("n"), V.mean("vec", dim).alias("vec"))
 
 
+#: Differences of coordinates that are held at once.
+_DIFFERENCES = 1 << 22
+
+
 def density_peaks(x: np.ndarray, k: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
     """Centres (rising) and the cluster of each point: centres have the largest product of density (exp of minus
     the mean squared distance to the ``nearest`` nearest, itself included) and distance to the nearest denser point."""
     r = len(x)
     if k <= 0 or k >= r:
         return np.arange(r if k > 0 else 0), np.arange(r) if k > 0 else np.full(r, -1)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)) / math.sqrt(max(x.shape[1], 1))
     m = min(max(1, nearest), r)
-    density = np.exp(-(np.sort(d, axis=1)[:, :m] ** 2).mean(1))
-    delta = np.where(density[None, :] > density[:, None], d, d.max()).min(1)
+    rows = [slice(a, a + step) for step in [max(1, _DIFFERENCES // (r * max(1, x.shape[1])))] for a in range(0, r, step)]
+    away = lambda some, others: np.sqrt(((x[some, None, :] - others[None, :, :]) ** 2).sum(2)) / math.sqrt(max(x.shape[1], 1))
+    d = np.concatenate([away(some, x) for some in rows])
+    density = np.exp(-np.concatenate([np.partition(d[some], m - 1, axis=1)[:, :m] ** 2 for some in rows]).mean(1))
+    furthest = d.max()
+    delta = np.concatenate([np.where(density[None, :] > density[some, None], d[some], furthest).min(1) for some in rows])
     centres = np.sort(dense.stable_top(density * delta, k))
     cluster = np.argmin(d[:, centres], axis=1)
     cluster[centres] = np.arange(k)

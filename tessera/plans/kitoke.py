@@ -110,35 +110,34 @@ def sample(div: DataFrame, ratio: float, method: str = "pivotal", seed: int = 0)
     return dense.per_key(x.select("video_id", "frame", "pos", "diversity", "pi"), ["video_id"], ["pos"], f, "video_id long, frame long, pos long, diversity double")
 
 
-def repair_swaps(interval: np.ndarray, diversity_: np.ndarray, selected: np.ndarray) -> np.ndarray:
-    """Give every empty interval its most diverse token, each time taking the
-    least diverse selected one (ties: the later) of the first interval with two or more."""
-    selected = selected.copy()
-    for e in np.unique(interval):
-        if selected[interval == e].any():
-            continue
-        counts = np.bincount(interval, selected)
-        donors = np.flatnonzero(counts >= 2)
-        if not len(donors):
-            break  # fewer tokens than intervals
-        mine = np.flatnonzero(interval == e)
-        theirs = np.flatnonzero((interval == donors[0]) & selected)
-        low = theirs[diversity_[theirs] == diversity_[theirs].min()].max()
-        selected[mine[np.argmax(diversity_[mine])]] = True
-        selected[low] = False
-    return selected
-
-
-def repaired(div: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The selection after repair: (video_id, frame, interval, pos, diversity)."""
-    x = div.join(spans, ["video_id", "frame"]).join(chosen.select("video_id", "pos", F.lit(True).alias("selected")), ["video_id", "pos"], "left")
-    x = x.withColumn("selected", F.coalesce("selected", F.lit(False)))
+#: What to do where an interval has no selected token.
+EMPTY_POLICIES = ("paper_strict", "repair_swap", "coarsen_then_repair")
 
-    def f(t):
-        keep = repair_swaps(t["interval"].astype(int), t["diversity"], t["selected"].astype(bool))
-        return {c: t[c][keep] for c in ("frame", "interval", "pos", "diversity")}
 
-    return dense.per_key(x, ["video_id"], ["pos"], f, "video_id long, frame long, interval long, pos long, diversity double")
+def repaired(div: DataFrame, spans: DataFrame, chosen: DataFrame, policy: str = "repair_swap") -> DataFrame:
+    """The selection after repair: (video_id, frame, interval, pos, diversity).
+
+    An empty interval takes its most diverse token (ties: earlier).  For each, one
+    token goes: from the first interval on, all but the most diverse one of an
+    interval can be spared, the least diverse first (ties: later).  Under
+    ``paper_strict`` an empty interval is an error; it always is one if not
+    enough tokens can be spared, as with fewer selected ones than intervals.
+    """
+    if policy not in EMPTY_POLICIES:
+        raise ValueError(f"unsupported policy: {policy}")
+    x = div.join(spans, ["video_id", "frame"]).join(chosen.select("video_id", "pos", F.lit(1).alias("own")), ["video_id", "pos"], "left")
+    held = x.groupBy("video_id", "interval").agg(F.count("own").alias("held"))
+    need = held.groupBy("video_id").agg(F.sum((F.col("held") == 0).cast("long")).alias("empty"), F.sum(F.greatest(F.col("held") - 1, F.lit(0))).alias("spare"))
+    x = x.join(held, ["video_id", "interval"]).join(need, "video_id").withColumn("own", F.col("own").isNotNull())
+    within = Window.partitionBy("video_id", "interval", "own")
+    x = x.withColumn("worst", F.row_number().over(within.orderBy("diversity", F.desc("pos")))).withColumn("best", F.row_number().over(within.orderBy(F.desc("diversity"), "pos")))
+    x = x.withColumn("spared", F.col("own") & (F.col("worst") < F.col("held")))
+    x = x.withColumn("turn", F.row_number().over(Window.partitionBy("video_id", "spared").orderBy("interval", "worst")))
+    stays = F.col("own") & ~(F.col("spared") & (F.col("turn") <= F.col("empty")))
+    keep = stays | ((F.col("held") == 0) & (F.col("best") == 1))
+    short = (F.col("empty") > 0) if policy == "paper_strict" else F.col("empty") > F.col("spare")
+    message = F.concat(F.lit("video "), F.col("video_id"), F.lit(": "), F.col("empty"), F.lit(" empty intervals, "), F.col("spare"), F.lit(f" tokens to spare ({policy})"))
+    return x.where(F.when(short, F.raise_error(message).cast("boolean")).otherwise(keep)).select("video_id", "frame", "interval", "pos", "diversity")
 
 
 def assignments(tokens: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -171,13 +170,16 @@ def merged(tokens: DataFrame, weights: DataFrame, dim: int) -> DataFrame:
     return tokens.select("video_id", "pos", "vec").join(weights, ["video_id", "pos"]).groupBy("video_id", "rep").agg(V.weighted_sum("vec", "weight", dim).alias("vec"))
 
 
-def compress(tokens: DataFrame, dim: int, *, ratio: float = 0.25, alpha: float = 2.0, method: str = "topk", seed: int = 0, tau: float = 110.0, delta: float = 70.0, relative: float = 0.4, merge: str = "diversity") -> DataFrame:
-    """The whole method: (video_id, rep, vec)."""
+def compress(
+    tokens: DataFrame, dim: int, *, ratio: float = 0.25, alpha: float = 2.0, method: str = "topk", seed: int = 0, tau: float = 110.0, delta: float = 70.0, relative: float = 0.4, merge: str = "diversity", policy: str = "coarsen_then_repair"
+) -> DataFrame:
+    """The whole method: (video_id, rep, vec).  ``coarsen_then_repair`` first leaves no more intervals than the budget."""
     div = diversity(tokens, alpha)
     chosen = top(div, ratio) if method == "topk" else sample(div, ratio, method, seed)
     bounds = boundaries(similarity.transitions(tokens), tau=tau, delta=delta, relative=relative)
-    sizes = tokens.groupBy("video_id").agg(F.count("*").alias("total"))
-    bounds = coarsened(bounds.join(sizes, "video_id"), budgets.floored(F.col("total"), ratio)).drop("total")
+    if policy == "coarsen_then_repair":
+        sizes = tokens.groupBy("video_id").agg(F.count("*").alias("total"))
+        bounds = coarsened(bounds.join(sizes, "video_id"), budgets.floored(F.col("total"), ratio)).drop("total")
     spans = intervals(tokens, bounds)
-    fixed = repaired(div, spans, chosen)
+    fixed = repaired(div, spans, chosen, policy)
     return merged(tokens, merge_weights(assignments(tokens, spans, fixed), div, merge), dim)

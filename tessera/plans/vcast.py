@@ -11,7 +11,7 @@ from tessera.operators import ranking, similarity
 
 
 def frame_budgets(tokens: DataFrame, dim: int, *, ratio: float = 0.25, min_k: int = 1, temperature: float = 1.0) -> DataFrame:
-    """(video_id, frame, weight, k): budgets by softmax of the curvature."""
+    """(video_id, frame, weight, k): budgets by softmax of the curvature; a video of one frame keeps it whole."""
     bend = similarity.curvature(tokens, dim)
     top = bend.groupBy("video_id").agg(F.max("curvature").alias("top"))
     e = bend.join(top, "video_id").withColumn("e", F.exp((F.col("curvature") - F.col("top")) / temperature))
@@ -23,7 +23,9 @@ def frame_budgets(tokens: DataFrame, dim: int, *, ratio: float = 0.25, min_k: in
     x = x.withColumn("per_frame", per_frame.cast("long")).withColumn("budget", F.greatest(budgets.half_even(F.col("total"), ratio), F.col("t") * least))
     x = x.select("video_id", "frame", "weight", "budget", "per_frame")
     out = ranking.per_frame_allocation(x, "weight", F.col("budget"), min_k, F.col("per_frame"))
-    return out.select("video_id", "frame", "weight", "k")
+    whole = F.when(F.col("t") <= 1, F.col("per_frame")).otherwise(F.col("k"))
+    sizes = sizes.select("video_id", "t", F.floor(F.col("total") / F.col("t")).cast("long").alias("per_frame"))
+    return out.select("video_id", "frame", "weight", "k").join(sizes, "video_id").select("video_id", "frame", "weight", whole.cast("long").alias("k"))
 
 
 def token_scores(tokens: DataFrame, dim: int) -> DataFrame:

@@ -22,6 +22,28 @@ def sampled_frames(videos: DataFrame, fps: float = 2, least: int = 4, most: int
     return x.select("video_id", "i", index.alias("index"), (index / F.col("rate")).alias("seconds"))
 
 
+def frame_span(videos: DataFrame) -> DataFrame:
+    """``videos`` (video_id, frames, rate, start, end: seconds or null) with ``first``, ``last`` and
+    ``span``, the frames from ``start`` to ``end``.  A span without two frames raises."""
+    # Least and greatest pass over nulls, so an open end has to stay null by itself.
+    within = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(c), F.col("frames") / F.col("rate"))))
+    first = F.coalesce(F.ceil(within("start") * F.col("rate")), F.lit(0))
+    last = F.least(F.floor(within("end") * F.col("rate")), F.col("frames") - 1)
+    x = videos.withColumns({"first": first.cast("long"), "last": last.cast("long")})
+    empty = (F.col("start").isNotNull() | F.col("end").isNotNull()) & (F.col("first") >= F.col("last"))
+    return x.withColumn("span", F.when(empty, F.raise_error(F.concat(F.lit("no frames in the span of video "), F.col("video_id"))).cast("long")).otherwise(F.col("last") - F.col("first") + 1))
+
+
+def sampled_in_span(videos: DataFrame, fps: float = 2, least: int = 4, most: int = 512) -> DataFrame:
+    """(video_id, i, index, seconds): evenly spaced frames from the first to the last of each video's span."""
+    x = frame_span(videos)
+    n = frame_count(F.col("span") / F.col("rate"), F.col("span"), fps, least, most)
+    x = x.withColumn("n", n).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    step = (F.col("last") - F.col("first")).cast("double") / F.greatest(F.col("n") - 1, F.lit(1))
+    index = F.rint(F.col("first") + F.col("i") * step).cast("long")
+    return x.select("video_id", "i", index.alias("index"), (index / F.col("rate")).alias("seconds"))
+
+
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(path, ord, start_ms, end_ms, text) of SubRip files, one row per cue."""
     cues = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\s*\n")).alias("ord", "cue"))
@@ -52,6 +74,20 @@ def subtitle_text(cues: DataFrame) -> DataFrame:
     return rows.select("video_id", F.array_join(F.col("all.text"), " ").alias("subtitles"))
 
 
+def placeholder_spans(rows: DataFrame, merge: int = 2) -> DataFrame:
+    """Rows (prompt_id, ord, t, h, w, placeholders) of several videos of a prompt with ``tokens`` and the
+    ``offset`` of each one's first token.  A grid that the merge does not divide raises, and so do
+    placeholders that are not as many as the tokens."""
+    n = (F.col("t") * F.col("h") * F.col("w") / (merge * merge)).cast("long")
+    where = F.concat(F.lit("prompt "), F.col("prompt_id"), F.lit(", video "), F.col("ord"))
+    checked = (
+        F.when((F.col("h") % merge != 0) | (F.col("w") % merge != 0), F.raise_error(F.concat(where, F.lit(f": grid not divisible by {merge}"))).cast("long"))
+        .when(F.col("placeholders") != n, F.raise_error(F.concat(where, F.lit(": placeholders and tokens differ"))).cast("long"))
+        .otherwise(n)
+    )
+    return running_offsets(rows.withColumn("tokens", checked), ["prompt_id"], "ord", "tokens", "offset")
+
+
 def running_offsets(rows: DataFrame, keys: list[str], order: str, size: str, out: str) -> DataFrame:
     """Adds the sum of the sizes before each row: where its part starts."""
     return rows.withColumn(out, F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))

@@ -26,3 +26,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 min
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process all that has arrived, to Parquet, and stop; the checkpoint lets a later call go on from there."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Process all that has arrived and stop; ``out`` holds the complete result after the last batch."""
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
