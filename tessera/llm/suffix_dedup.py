@@ -10,8 +10,10 @@
 3. The segments of an anchor are joined, with separators, and suffix-sorted by
    linear grouping; suffixes whose first ``width`` bytes are equal are neighbours
    in that order, and the smallest doc_id of each such run keeps them.
-   Anchors with much text are dealt again by longer anchors first; those of a
-   passage amid very many different neighbours by longer ones over more tasks.
+   Copies are found by hash first, and compared byte by byte, before that.  An
+   anchor amid very many different neighbours is dealt over more tasks by the
+   longer anchors beside it, and so is text beyond what is sorted at once; what
+   then meets is sorted in the same way.
 4. What was found goes back to the texts, where removed windows merge.
 """
 
@@ -30,9 +32,9 @@ from .common import TextBlock, cut_lineage, groups_of, mix, runs
 from .exchange import changes as _new
 from .gsaca import suffix_arrays
 
-#: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes.
+#: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes, which bounds the memory and time of one sort.
 ANCHORS = (24, 36, 44, 48, 50)
-_JOINED = 2048
+_JOINED = 1 << 17
 #: Anchors with over so many different segments are dealt by the longer anchors of _HOT_LEVEL, so that they meet in many tasks.
 _HOT, _HOT_LEVEL = 500, 2
 #: Bytes that are suffix-sorted at once.
@@ -80,6 +82,18 @@ def _gather(block: TextBlock, starts: np.ndarray, sizes: np.ndarray) -> TextBloc
     return TextBlock(block.data[np.repeat(starts, sizes) + _within(sizes)], np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _unlike(block: TextBlock, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which strings of ``sizes`` bytes that start at ``a`` and ``b`` differ."""
+    out = np.zeros(len(a), bool)
+    todo = np.flatnonzero(a != b)
+    for some in np.split(todo, np.flatnonzero(np.diff(np.cumsum(sizes[todo]) // _BATCH)) + 1) if len(todo) else ():
+        n = sizes[some]
+        step = _within(n)
+        differ = block.data[np.repeat(a[some], n) + step] != block.data[np.repeat(b[some], n) + step]
+        out[some] = np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
 def smallest_holders(block: TextBlock, group: np.ndarray, holder: np.ndarray, width: int, level: int = 0) -> np.ndarray:
     """For every window of every text of ``block``, text by text: the smallest
     ``holder`` of the texts of the same group that hold an equal window.
@@ -103,10 +117,14 @@ def smallest_holders(block: TextBlock, group: np.ndarray, holder: np.ndarray, wi
         order = np.lexsort((holder[texts[doc]], content, g))
         doc, at, n, g, content = doc[order], at[order], n[order], g[order], content[order]
         new = _new(g, content)
+        begins, long = sub.offsets[doc] + at, n + width - 1
+        first_like = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        new |= (long != long[first_like]) | _unlike(sub, begins, begins[first_like], np.minimum(long, long[first_like]))
         lead = np.flatnonzero(new)
         inner = smallest_holders(_gather(sub, sub.offsets[doc[lead]] + at[lead], n[lead] + width - 1), np.cumsum(_new(g))[lead], holder[texts[doc[lead]]], width, level + 1)
         begin = np.cumsum(n[lead]) - n[lead]
-        which = np.cumsum(new) - 1
+        number = np.cumsum(new) - 1
+        which = np.where(new, number, number[first_like])
         step = _within(n)
         out[np.repeat(base[texts[doc]] + at, n) + step] = inner[np.repeat(begin[which], n) + step]
     small = np.flatnonzero(several & ~large)
@@ -278,7 +296,8 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
             new = _new(k2[order], c2[order])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             copy = np.zeros(len(order), bool)
-            copy[order] = (i2[order] != i2[lead]) | ((t2[order] >= ex.NULL_TAG) != (t2[lead] >= ex.NULL_TAG))
+            later = (i2[order] != i2[lead]) | ((t2[order] >= ex.NULL_TAG) != (t2[lead] >= ex.NULL_TAG))
+            copy[order] = later & (n2[order] == n2[lead]) & ~_unlike(data, data.offsets[order], data.offsets[lead], np.minimum(n2[order], n2[lead]) + width - 1)
             out += [(buckets + where, p) for where, p in _to_homes(i2[copy], t2[copy], a2[copy], n2[copy], homes)]
             out += _packed(buckets, k2, i2, t2, a2, n2, data, ~copy, width)
         return _table(out, ("bucket", pa.int64()), ("payload", pa.binary()))
@@ -304,11 +323,15 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
         content = mix(block.gram_hashes()(block.offsets[:-1], block.offsets[1:]) + sizes.astype(np.uint64))
         order = np.lexsort((age, content, key))
         new = _new(key[order], content[order])
+        first_like = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        like = order[first_like]
+        new |= (sizes[order] != sizes[like]) | _unlike(block, block.offsets[order], block.offsets[like], np.minimum(sizes[order], sizes[like]))
         lead = order[new]
         smallest = smallest_holders(_gather(block, block.offsets[lead], sizes[lead]), key[lead], age[lead], width)
         begin = np.cumsum(n[lead]) - n[lead]
         text = np.empty(len(order), np.int64)
-        text[order] = np.cumsum(new) - 1
+        number = np.cumsum(new) - 1
+        text[order] = np.where(new, number, number[first_like])
         entry, step = np.repeat(np.arange(len(ids)), n), _within(n)
         gone = smallest[begin[text[entry]] + step] < age[entry]
         entry, place = entry[gone], (at[entry] + step)[gone]

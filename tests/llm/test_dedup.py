@@ -122,6 +122,31 @@ def test_many_contexts_of_one_passage(spark):
         assert got == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("joined", [60, 2048, 1 << 17])
+def test_holders_whatever_is_sorted_at_once(monkeypatch, joined):
+    """Equal windows and their smallest holders, with every hash of a segment the same: bytes decide."""
+    from tessera.llm import suffix_dedup as S
+    from tessera.llm.common import block_of
+
+    monkeypatch.setattr(S, "_JOINED", joined)
+    rng = np.random.default_rng(joined)
+    base = "".join(rng.choice(list("ab"), 90))
+    texts = sorted({base[a : a + 50 + b] + "".join(rng.choice(list("abc"), c)) for a, b, c in rng.integers(0, [40, 40, 30], (120, 3))})
+    holder = rng.integers(0, 30, len(texts))
+    group = np.sort(rng.integers(0, 3, len(texts)))
+    windows, smallest = [], {}
+    for t, h, g in zip(texts, holder.tolist(), group.tolist()):
+        for k in range(len(t) - 49):
+            windows.append((g, t[k : k + 50]))
+            smallest[windows[-1]] = min(h, smallest.get(windows[-1], 99))
+    plain = S.segments
+    for alike in (False, True):
+        if alike:
+            monkeypatch.setattr(S, "segments", lambda *a: (*plain(*a)[:4], np.zeros_like(plain(*a)[4])))
+        got = S.smallest_holders(block_of(pa.array(texts)), group, holder, 50)
+        assert got.tolist() == [smallest[w] for w in windows]
+
+
 def test_suffix_arrays():
     from tessera.llm.gsaca import suffix_arrays
 
