@@ -283,3 +283,22 @@ def test_sketches_lose_no_pair():
     assert [N.similar(x.tobytes(), y.tobytes()) for x, y in zip(sets[::2], sets[1::2])] == alike
     assert all(N.may_be_similar(x, y) for x, y, s in zip(made[::2], made[1::2], alike) if s)
     assert not any(N.may_be_similar(x, y) for x, y in zip(made[::2], made[2::2]))
+
+
+def test_large_cells_in_small_blocks(spark, monkeypatch):
+    """Near copies of one text in several components, compared a few at a time."""
+    import random
+
+    from tessera.llm import near_dedup
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3])):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "_ROWS", 8)
+    monkeypatch.setattr(near_dedup, "_PIVOTS", 3)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(frame(spark, rows), small=4).collect()) == brute_jaccard_kept(rows)
