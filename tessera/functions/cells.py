@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows (or distinct values) of a run, about.
-CELL_ROWS = 200_000
+CELL_ROWS = 1_000_000
 
 
 def at_or_below(cuts: Column, value: Column, most: int) -> Column:
@@ -15,15 +15,19 @@ def at_or_below(cuts: Column, value: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(cuts, low + s - 1) <= value, low + s).otherwise(low))
 
 
-def dealt(df: DataFrame, keys: list[str], order: str, out: str, rows: int = CELL_ROWS) -> DataFrame:
+def largest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("rows_")) if keys else df.agg(F.count("*").alias("rows_"))
+    return counts.agg(F.max("rows_")).first()[0] or 0
+
+
+def dealt(df: DataFrame, keys: list[str], order: str, out: str, rows: int = CELL_ROWS, most: int | None = None) -> DataFrame:
     """``df`` with ``out``: the run of the row within its key, by quantiles of ``order``.
 
-    Only keys of more than ``rows`` rows have several runs; they are at most as many as
+    ``most``: a bound of the rows of a key, where it is known.  Only keys of more than ``rows`` rows have several runs; they are at most as many as
     the whole table holds times ``rows``, so their cuts are broadcast.  Equal values are of one run.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("rows_")) if keys else df.agg(F.count("*").alias("rows_"))
-    most = counts.agg(F.max("rows_")).first()[0] or 0
-    n = -(-most // rows)
+    n = -(-(largest(df, keys) if most is None else most) // rows)
     if n < 2:
         return df.withColumn(out, F.lit(0))
     cuts = F.array_sort(F.array_distinct(F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 20 * n)))).alias("cuts_")
@@ -34,11 +38,14 @@ def dealt(df: DataFrame, keys: list[str], order: str, out: str, rows: int = CELL
     return df.join(F.broadcast(hot), keys, "left").withColumn(out, at_or_below(F.col("cuts_"), F.col(order), n)).drop("cuts_")
 
 
-def running(df: DataFrame, keys: list[str], order: str, weight: str, out: str, rows: int = CELL_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, weight: str, out: str, rows: int = CELL_ROWS, most: int | None = None) -> DataFrame:
     """``df`` (one row for each key and value of ``order``) with ``out``: the sum of ``weight`` over lower values."""
-    x = dealt(df, keys, order, "cell_", rows)
+    most = largest(df, keys) if most is None else most
+    below = lambda *by: F.coalesce(F.sum(weight).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if most <= rows:
+        return df.withColumn(out, below(*keys))
+    x = dealt(df, keys, order, "cell_", rows, most)
     sums = x.groupBy(*keys, "cell_").agg(F.sum(weight).alias("sum_"))
     before = F.coalesce(F.sum("sum_").over(Window.partitionBy(*keys).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.join(sums.select(*keys, "cell_", before.alias("before_")), [*keys, "cell_"])
-    here = F.coalesce(F.sum(weight).over(Window.partitionBy(*keys, "cell_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn(out, F.col("before_") + here).drop("cell_", "before_")
+    return x.withColumn(out, F.col("before_") + below(*keys, "cell_")).drop("cell_", "before_")

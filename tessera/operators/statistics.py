@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.cells import CELL_ROWS, running
+from tessera.functions.cells import CELL_ROWS, largest, running
 
 
-def counted(df: DataFrame, keys: list[str], value: str, rows: int = CELL_ROWS) -> DataFrame:
-    """(…keys, value, c, below): rows of each value, and rows with a lower one."""
-    return running(df.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, "c", "below", rows)
+def counted(df: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
+    """(…keys, value, c, below): rows of each value, and rows with a lower one.  ``most``: a bound of the rows of a key."""
+    most = largest(df, keys) if most is None else most  # of the rows, so that the counts need not be made for it
+    return running(df.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, "c", "below", CELL_ROWS, most)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -27,11 +28,12 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
     return df.join(ranks, same, "left").drop("value__", *(f"{k}__" for k in keys))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman") -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman", most: int | None = None) -> DataFrame:
     """(…keys, out): correlation of the average ranks; null for fewer than two rows or a constant.  Rows without one of the values do not count."""
     df = df.dropna(subset=[*dict.fromkeys([*keys, x, y])])
+    most = largest(df, keys) if most is None else most
     pairs = df.groupBy(*dict.fromkeys([*keys, x, y])).agg(F.count("*").alias("c_"))
-    ranks = lambda v, r: counted(df, keys, v).select(*keys, v, (F.col("below") + (F.col("c") - 1) / 2).alias(r))
+    ranks = lambda v, r: counted(df, keys, v, most).select(*keys, v, (F.col("below") + (F.col("c") - 1) / 2).alias(r))
     r = pairs.join(ranks(x, "rx"), [*keys, x]).join(ranks(y, "ry"), [*keys, y])
     # Ranks around their mean, (n - 1) / 2, so that sums of products lose no digits.
     n = df.groupBy(*keys).agg(F.count("*").alias("n_"))
@@ -58,7 +60,8 @@ def concentration(df: DataFrame, keys: list[str], value: str, index: str, time:
     """Per key: mass of the top 1, 5, 10 and 20 % (rounded up), normalised entropy, effective count and
     fraction, Gini, max, mean, deviation, and rank correlation with the index (and time).  Sums must be positive."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("mass"), F.count("*").alias("n")).where("mass > 0")
-    x = counted(df, keys, value).join(sums, keys).withColumn("p", F.col(value) / F.col("mass"))
+    most = largest(df, keys)
+    x = counted(df, keys, value, most).join(sums, keys).withColumn("p", F.col(value) / F.col("mass"))
     c, n, p = F.col("c"), F.col("n"), F.col("p")
     above = n - F.col("below") - c
 
@@ -75,6 +78,6 @@ def concentration(df: DataFrame, keys: list[str], value: str, index: str, time:
         "effective_token_count": F.exp("entropy"),
         "effective_token_fraction": F.exp("entropy") / n,
     }).drop("entropy", "n")
-    positive = df.join(sums.select(*keys), keys, "left_semi")
-    out = out.join(_gini(x, keys, p, "gini"), keys).join(spearman(positive, keys, value, index, "spearman_local_index"), keys)
-    return out.join(spearman(positive, keys, value, time, "spearman_temporal_index"), keys) if time else out
+    # Keys without a positive sum are not in ``out``, so they need not be left out again.
+    out = out.join(_gini(x, keys, p, "gini"), keys).join(spearman(df, keys, value, index, "spearman_local_index", most), keys)
+    return out.join(spearman(df, keys, value, time, "spearman_temporal_index", most), keys) if time else out
