@@ -49,8 +49,12 @@ _AUTHORITY = re.compile(r"""[^\s"'<>/@]+@[^\s"'<>@]+""")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 
+_SMALL = {c: c + 32 for c in range(65, 91)}
+
+
 @functools.cache
 def _anchors():
+    """Anchors of a text in small letters."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -58,8 +62,7 @@ def _anchors():
     found.add_word("+", "plus")
     found.add_word("://", "scheme")
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(form, "cue")
+        found.add_word(cue, "cue")
     found.make_automaton()
     return found
 
@@ -199,7 +202,10 @@ _PARSERS: tuple[tuple[str, str, Callable], ...] = (
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Start and end, in code points, of all personal data by kind."""
     at: dict[str, list[int]] = {}
-    for end, kind in _anchors().iter(text):
+    small = text.lower()
+    if len(small) != len(text):  # some letters become two
+        small = text.translate(_SMALL)
+    for end, kind in _anchors().iter(small):
         at.setdefault(kind, []).append(end)
     if digits := [m.start() for m in _DIGITS.finditer(text)]:
         at["digit"] = digits

@@ -52,6 +52,22 @@ def test_personal_data_rows_and_redaction(spark):
     assert texts[2] == (None, 0) and texts[1][0].startswith("é <EMAIL>, token") and texts[1][1] == len(texts[1][0]) and "pw1234" not in texts[1][0]
 
 
+def test_cues_in_any_case_and_urls_with_names():
+    from tessera.llm import pii
+
+    for cue in ("iBAN: ", "PassWord=", "API_key: ", "aCCount: "):
+        value = "DE89370400440532013000" if cue.lower().startswith("iban") else "a1b2c3d4e5"
+        for front in ("", "İİ ", "ß"):
+            text = f"{front} {cue}{value} end"
+            start = len(front) + 1 + len(cue)
+            assert pii.spans(text)["account"] == [(start, start + len(value))]
+    plain = re.compile(r"""[A-Za-z0-9+.-]+://[^\s"'<>/@]+@[^\s"'<>@]+""")
+    rng = random.Random(12)
+    for _ in range(6000):
+        t = "".join(rng.choice(["a", "b1", "://", "@", "/", " ", ":", "x.y", "é", "http://", "u:p@"]) for _ in range(rng.randrange(12)))
+        assert pii.spans(t).get("url", []) == [m.span() for m in plain.finditer(t)], t
+
+
 def test_personal_data_of_odd_tables(spark):
     from tessera.llm import pii
 
