@@ -29,6 +29,7 @@ def parse_choice(text: Column, labels: tuple[str, ...] = LABELS) -> Column:
     one = "|".join(re.escape(x.upper()) for x in labels)
     s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""))
     found = lambda p: F.transform(F.regexp_extract_all(s, F.lit(p), F.lit(1)), lambda x: F.upper(x))
+    # The patterns of an answer.
     alone = found(rf"(?<![A-Za-z])({one})(?![A-Za-z])")
     p1 = found(rf"(?iU)(?:final\s+answer|answer|the\s+answer\s+is)\s*[:：]?\s*\(?\s*({one})\s*\)?\b")
     p2 = found(rf"(?U)^\(?\s*({one})\s*\)?[.。\s]*$")

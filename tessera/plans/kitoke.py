@@ -110,7 +110,7 @@ def sample(div: DataFrame, ratio: float, method: str = "pivotal", seed: int = 0)
     return dense.per_key(x.select("video_id", "frame", "pos", "diversity", "pi"), ["video_id"], ["pos"], f, "video_id long, frame long, pos long, diversity double")
 
 
-#: What to do where an interval has no selected token.
+#: Names of what to do where an interval has no selected token.
 EMPTY_POLICIES = ("paper_strict", "repair_swap", "coarsen_then_repair")
 
 

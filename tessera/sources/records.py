@@ -113,7 +113,7 @@ def _called(name: str):
     return lambda a: a["key"] == name
 
 
-#: Arrays of a score archive, and their short names.
+#: The arrays of a score archive, by their short names.
 SCORE_ARRAYS = {"score": "score", "t": "temporal_grid_indices", "y": "y_grid_indices", "x": "x_grid_indices"}
 
 
