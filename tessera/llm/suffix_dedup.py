@@ -34,7 +34,7 @@ from .gsaca import suffix_arrays
 
 #: Lengths of anchors: the first for all texts, the others for anchors with over _JOINED bytes, which bounds the memory and time of one sort.
 ANCHORS = (24, 36, 44, 48, 50)
-_JOINED = 1 << 17
+_JOINED = 1 << 13
 #: Anchors with over so many different segments are dealt by the longer anchors of _HOT_LEVEL, so that they meet in many tasks.
 _HOT, _HOT_LEVEL = 500, 2
 #: Bytes that are suffix-sorted at once.
@@ -273,8 +273,7 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
         key, is_hot = ex.from_bytes(extra[:, :_KEY]), extra[:, _KEY] > 0
         done = np.zeros(len(ids), bool)
         out, held = [], []
-        for payload in texts.column("payload"):
-            text_ids, text_tags, _, block = ex.open_texts(payload.as_py())
+        for text_ids, text_tags, _, block in ex.texts_of(texts.column("payload")):
             row, want = ex.lookup(text_ids, text_tags, ids, tag)
             want, one = np.unique(want, return_index=True)
             row = row[one]
@@ -344,8 +343,8 @@ def remove_repeated(docs: DataFrame, width: int = 50, hot: int = _HOT) -> DataFr
         marks = [*map(ex.opened, found.column("payload").to_pylist())]
         marks = [np.concatenate(x) for x in zip(*marks, strict=True)] if marks else [np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2]
         rows = []
-        for payload in texts.column("payload"):
-            rows += _cut(*ex.open_texts(payload.as_py()), marks, width)
+        for some in ex.texts_of(texts.column("payload")):
+            rows += _cut(*some, marks, width)
         return _table(rows, ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("copies", pa.int64()))
 
     found_schema = "home long, kind int, payload binary"

@@ -107,6 +107,37 @@ def test_bytes_of_one_id_stay(spark):
     assert got == [(0, 49, 0, 0), (7, 61, 0, 0), (7, 80, 0, 0), (7, 80, 0, 0), (8, 50, 50, 1)]
 
 
+def test_texts_of_a_home_are_opened_together():
+    """However many messages a home gets, its marks are looked up once for some megabytes of text."""
+    from tessera.llm import exchange as ex
+
+    texts = [b"text %d " % i * (i % 4) for i in range(300)]
+    payloads = []
+    for i, t in enumerate(texts):
+        head = np.array([i, 0, 1 + i % 2, len(t)], "<i8").tobytes()
+        payloads.append(ex._squeeze((1).to_bytes(4, "little") + head + t))
+    for most, blocks in ((ex.OPENED_BYTES, 1), (1, 225)):
+        got = list(ex.texts_of(pa.chunked_array([pa.array(payloads, pa.binary())]), most))
+        assert len(got) == blocks
+        ids, tags, copies = (np.concatenate([x[k] for x in got]) for k in range(3))
+        assert ids.tolist() == list(range(300)) and not tags.any() and copies.tolist() == [1, 2] * 150
+        assert [bytes(x[3].text(i)) for x in got for i in range(x[3].n)] == texts
+    assert not list(ex.texts_of(pa.chunked_array([], pa.binary())))
+
+
+def test_bytes_in_many_small_batches(spark):
+    from tessera.llm.suffix_dedup import remove_repeated
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, rows = spark.conf.get(key), corpus(5)
+    spark.conf.set(key, "1")
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in remove_repeated(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert got == brute_bytes(rows)
+
+
 def test_many_contexts_of_one_passage(spark):
     """One passage amid different neighbours: its anchor has more text than is sorted at once."""
     import random
