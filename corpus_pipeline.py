@@ -26,7 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles stays."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles stays: found by SimHash, the
+    pairs beyond its radius by a prefix filter, and each verified on the whole sets."""
     return near.keep_one(docs)
 
 

@@ -1,4 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+"""Near-duplicates by SimHash, verified by the exact Jaccard similarity of their word shingles.
+
+SimHash comes first: fingerprints that the grid of ``simhash`` finds within 3 bits
+are candidates, and links where the whole sets have the similarity.  No radius of 64
+bits holds all pairs of that similarity, so a prefix filter adds the pairs that
+SimHash has not joined.
 
 Two sets of similarity 4/5 or more, each written in one order common to all,
 share one of their first n - ceil(4n/5) + 1 elements.  So each distinct set
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import TextBlock, block_of, cut_lineage, groups_of, mix, partitions, rolling, runs, sums_by, text_or_empty
 from .components import components, local_forest
-from .simhash import keep_leads, roots, rows_of
+from .simhash import keep_leads, links_of, prints_of, roots, rows_of
 
 SHINGLE = 5
 #: Bytes of text that are hashed at once.
@@ -249,6 +254,18 @@ def in_blocks(rows: DataFrame, key: str, f, schema: str, most_rows: int, most_pi
     return left.groupBy(*by).cogroup(right.toDF(*right.columns).groupBy(*by)).applyInArrow(f, schema)
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets (``fp``) that join all whose SimHash fingerprints (``bits``) are linked, directly or over others."""
+    both = cut_lineage(prints.select(F.col("fp").alias("node"), "bits").distinct())
+    first = cut_lineage(both.groupBy("bits").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = both.join(first.where("n > 1"), "bits").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda end, name: first.select(F.col("bits").alias(end), F.col("first").alias(name))
+    near = links_of(first.select(F.col("bits").alias("fp"))).toDF("x", "y").distinct()
+    near = near.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
+    pairs = same.unionByName(near).where("a != b")
+    return cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def _passing(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
     """The pairs (a, b) whose two ``values`` (node, value) pass the test."""
 
@@ -276,7 +293,8 @@ def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def links(docs: DataFrame, prints: DataFrame, frequent, shingle: int, small: int) -> DataFrame:
-    """(a, b): links that join all sets of a similarity of 4/5 or more into their components."""
+    """(a, b): links that join all sets of a similarity of 4/5 or more into their components: those that SimHash finds, then
+    those of the prefix filter between what these leave apart."""
     buckets = partitions(docs.sparkSession)
 
     def hashed(batches):
@@ -318,8 +336,13 @@ def links(docs: DataFrame, prints: DataFrame, frequent, shingle: int, small: int
     sketched = cut_lineage(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("value")))
     found = cut_lineage(texts.select("text").mapInArrow(hashed, "bucket long, payload binary").groupBy("bucket").applyInArrow(met, "cell long, a long, b long, n long, rest long"))
     cells = found.where("cell is not null")
+    near = _passing(simhash_pairs(prints), sketched.select("node", "value"), may_be_similar)
     pairs = _passing(found.where("cell is null").select("a", "b").distinct(), sketched.select("node", "value"), may_be_similar)
-    linked = _passing(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similar)
+    sets = sets_of(near.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("node")))
+    joined = cut_lineage(components(_passing(near, sets, similar)))
+    at = lambda end, name: joined.select(F.col("node").alias(end), F.col("root").alias(name))
+    rest = pairs.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left").where("coalesce(x, a) != coalesce(y, b)").select("a", "b")
+    linked = at("a", "b").unionByName(_passing(rest, sets, similar))
     if not cells.limit(1).count():
         return linked
     root = components(linked)
@@ -335,7 +358,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, small: int = SMALL_CELL) -
     """``docs``, all columns, with one row of each component: that with the smallest doc_id.
 
     Texts are linked if the sets of their shingles of ``shingle`` words have a
-    Jaccard similarity of 0.8 or more; texts without words (null, empty) are one
+    Jaccard similarity of 0.8 or more, whether SimHash (fingerprints as in
+    ``simhash.near_duplicates``) or the prefix filter finds them; texts without words (null, empty) are one
     group.  Null ids count as the largest; of rows that share the id, the one
     whose text has the smallest hash is kept, and of equal rows one.  Columns may
     have any names; an empty table gives no rows.
@@ -344,9 +368,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, small: int = SMALL_CELL) -
 
     def go(batches):
         for batch in runs(batches, most=_BLOCK):
-            sets = shingle_sets(block_of(batch.column("text")), shingle, frequent.value)
+            block = block_of(batch.column("text"))
+            sets = shingle_sets(block, shingle, frequent.value)
             keys = [batch.column(c) for c in ("no_id", "doc_id", "tie")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(nodes_of(*sets)), pa.array(sketches(*sets), pa.binary())], ["no_id", "doc_id", "tie", "fp", "sketch"])
+            found = [pa.array(nodes_of(*sets)), pa.array(sketches(*sets), pa.binary()), pa.array(prints_of(block))]
+            yield pa.RecordBatch.from_arrays([*keys, *found], ["no_id", "doc_id", "tie", "fp", "sketch", "bits"])
 
-    prints = cut_lineage(rows_of(docs).mapInArrow(go, "no_id boolean, doc_id long, tie long, fp long, sketch binary"))
+    prints = cut_lineage(rows_of(docs).mapInArrow(go, "no_id boolean, doc_id long, tie long, fp long, sketch binary, bits long"))
     return keep_leads(docs, roots(prints, links(docs, prints, frequent, shingle, small)))

@@ -52,7 +52,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _prints(block: TextBlock, shingle: int) -> np.ndarray:
+def prints_of(block: TextBlock, shingle: int = 3) -> np.ndarray:
+    """The fingerprint of each text, as a signed number."""
     block = block.lowered()
     return np.array([fingerprint(block.text(i), shingle) for i in range(block.n)], np.uint64).view(np.int64)
 
@@ -68,7 +69,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def go(batches):
         for batch in runs(batches):
-            found = pa.array(_prints(block_of(batch.column("text")), shingle))
+            found = pa.array(prints_of(block_of(batch.column("text")), shingle))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("no_id", "doc_id", "tie")), found], ["no_id", "doc_id", "tie", "fp"])
 
     return rows_of(docs).mapInArrow(go, "no_id boolean, doc_id long, tie long, fp long")
@@ -190,7 +191,7 @@ def _in_cell_links(batches, rows: int = 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _links_of(prints: DataFrame) -> DataFrame:
+def links_of(prints: DataFrame) -> DataFrame:
     """Links (a, b) of distinct fingerprints."""
     # Nodes are fingerprints, as signed numbers.
     nodes = prints.select("fp", F.col("fp").alias("node"))
@@ -202,7 +203,7 @@ def roots(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(fp, n, lead) of every distinct fingerprint: its number of rows, and the
     first row (no_id, doc_id, tie, fp) that is reachable over links."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("no_id", "doc_id", "tie", "fp")).alias("lead"), F.count("*").alias("n")))
-    linked = components(_links_of(distinct) if links is None else links)
+    linked = components(links_of(distinct) if links is None else links)
     placed = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "n", "lead", F.coalesce("root", "fp").alias("root"))
     best = placed.groupBy("root").agg(F.min("lead").alias("best"))
     return placed.join(best, "root").select("fp", "n", F.col("best").alias("lead"))

@@ -299,6 +299,54 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r.doc_id for r in near_dedup(spark, frame(spark, rows), "").collect()) == brute_jaccard_kept(rows) == [1, 50]
 
 
+def test_pipeline_goes_by_simhash_first(spark, monkeypatch):
+    """The stage's SimHash candidates join all fingerprints within 3 bits; sets verify them, and no near copy beyond is lost."""
+    import random
+
+    from corpus_pipeline import near_dedup as stage
+
+    from tessera.llm import near_dedup, simhash
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([60, 400]))]
+        for j in range(4):
+            some = list(words)
+            for _ in range(rng.choice([0, 1, 3])):
+                some[rng.randrange(len(some))] = f"v{rng.randrange(9000)}"
+            rows.append((10 * i + j, " ".join(some)))
+    rows += [(900, "a b c d e a b c d e a b c"), (901, "e a b c d e a b c d e a b"), (902, ""), (903, None)]
+    seen, plain = [], near_dedup.simhash_pairs
+
+    def kept(prints):
+        pairs = plain(prints)
+        seen.append(({r.doc_id: (r.fp, r.bits) for r in prints.collect()}, [(r.a, r.b) for r in pairs.collect()]))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "simhash_pairs", kept)
+    got = sorted(r.doc_id for r in stage(spark, frame(spark, rows), "").collect())
+    assert got == brute_jaccard_kept(rows)
+    (prints, pairs), = seen
+    assert [b % (1 << 64) for _, b in prints.values()] == [simhash.fingerprint((dict(rows)[i] or "").encode()) for i in prints]
+    root = {n: n for n, _ in prints.values()}
+
+    def join(a, b):
+        low, high = sorted((root[a], root[b]))
+        root.update({n: low for n, r in root.items() if r == high})
+
+    for a, b in pairs:
+        join(a, b)
+    found = dict(root)
+    root = {n: n for n in root}
+    every = list(prints.values())
+    for k, (n, x) in enumerate(every):
+        for m, y in every[:k]:
+            if ((x ^ y) % (1 << 64)).bit_count() <= 3:
+                join(n, m)
+    assert found == root and 5 < len(pairs) and len(set(root.values())) > len(got)
+
+
 def test_sketches_lose_no_pair():
     from tessera.llm import near_dedup as N
 
