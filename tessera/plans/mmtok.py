@@ -87,6 +87,85 @@ def greedy_exact(coverage: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndar
     return np.array(taken, int), np.array(trace)
 
 
+#: Entries of a coverage matrix that are held at once.
+HELD = 1 << 22
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each set of equal rows, rising, and for each row the number of its set."""
+    x = np.ascontiguousarray(x + 0.0)  # one zero
+    _, first, of = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    return first[order], np.argsort(order)[of.ravel()]
+
+
+def greedy_streamed(tokens: np.ndarray, targets: np.ndarray, temperature: np.ndarray, weight: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """As greedy_exact, of the coverage weight * softmax(target . token / temperature) of unit vectors, which is never held whole.
+
+    The gain of every token is kept up to date: a token that is taken raises the maxima of some rows, of about one in k at
+    step k, and only these rows are made again, ``HELD`` entries at a time.  Sums of differences may be off in the last digits, so gains that
+    are about the largest are summed anew before one is taken.  Equal tokens are one column, of which the first is taken and
+    the others then gain nothing; equal rows are one with the sum of their weights.
+    """
+    first, of = _distinct(tokens)
+    u, copies, n = tokens[first], np.bincount(of).astype(float), len(tokens)
+    targets, temperature, weight = (x[weight > 0] for x in (targets, temperature, weight))
+    scaled = targets / temperature[:, None]
+    some, same = _distinct(scaled)
+    a, weight = scaled[some], np.bincount(same, weight, len(some))
+    step, wide = max(1, HELD // len(u)), max(1, HELD // max(1, len(a)))
+    shift, gain = np.empty(len(a)), np.zeros(len(u))  # the coverage is exp(a . u + shift)
+    for s in (slice(k, k + step) for k in range(0, len(a), step)):
+        x = a[s] @ u.T
+        top = x.max(1)
+        x -= top[:, None]
+        np.exp(x, out=x)
+        share = weight[s] / (x @ copies)
+        gain += share @ x
+        shift[s] = np.log(share) - top
+    level, best = np.full(len(a), -np.inf), np.zeros(len(a))
+    near_by, done, free = 1e-11 * gain.max(), np.zeros(len(u), bool), np.ones(n, bool)
+    taken, trace, unused = [], [], 0
+    for _ in range(min(budget, n)):
+        near = np.flatnonzero(~done & (gain >= gain.max() - near_by))
+        while len(near) > 1 or len(near) and gain[near[0]] <= near_by:
+            for k in range(0, len(near), wide):
+                c = near[k : k + wide]
+                gain[c] = np.maximum(np.exp(a @ u[c].T + shift[:, None]) - best[:, None], 0).sum(0)
+            done[near] = gain[near] <= 0
+            gain[done] = -np.inf
+            if not done[near].all():
+                near = near[np.argmax(gain[near])][None]
+                break
+            near = np.flatnonzero(~done & (gain >= gain.max() - near_by))
+        if len(near):
+            c, j = near[0], first[near[0]]
+            now = a @ u[c]
+            raised = np.flatnonzero(now > level)
+            after = np.exp(now[raised] + shift[raised])
+            for k in range(0, len(raised), step):
+                rows = raised[k : k + step]
+                x = a[rows] @ u.T
+                at = np.flatnonzero(x > level[rows, None])
+                if 8 * len(at) < x.size:
+                    row, column = np.divmod(at, len(u))
+                    more = np.exp(np.minimum(x.ravel()[at], now[rows][row]) + shift[rows][row]) - best[rows][row]
+                    gain -= np.bincount(column, more, len(u))
+                else:
+                    np.clip(x, level[rows, None], now[rows, None], out=x)
+                    x += shift[rows, None]
+                    gain -= np.exp(x, out=x).sum(0) - best[rows].sum()
+            level[raised], best[raised] = now[raised], after
+            done[c], gain[c] = True, -np.inf
+        else:  # nothing gains: the first that is left
+            unused += int(np.argmax(free[unused:]))
+            j = unused
+        free[j] = False
+        taken.append(int(j))
+        trace.append(best.sum())
+    return np.array(taken, int), np.array(trace)
+
+
 def greedy_sampled(coverage: np.ndarray, budget: int, rng: np.random.Generator, epsilon: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """As greedy_exact, with only ceil(n / budget * ln(1 / epsilon)) random candidates each time."""
     n = coverage.shape[1]
@@ -129,18 +208,15 @@ def plan(tokens: DataFrame, queries: DataFrame, targets: DataFrame, *, ratio: fl
     def f(t, rows):
         u = dense.unit(t["vec"], EPS)
         vision = rows["vision"] == 1
-        parts = []
-        if (~vision).any():
-            parts.append(dense.softmax(dense.unit(rows["vec"][~vision], EPS), u, text_temperature) / (~vision).sum())
-        if vision.any():
-            parts.append(dense.softmax(dense.unit(rows["vec"][vision], EPS), u, vision_temperature) * rows["weight"][vision][:, None])
+        targets = dense.unit(rows["vec"], EPS)
         n = len(u)
         budget = max(1, min(n, int(np.floor(n * ratio) if rounding == "floor" else np.rint(n * ratio))))
-        cover = np.concatenate(parts)
+        weight = np.where(vision, rows["weight"], 1 / max(1, (~vision).sum()))
         if profile == "exact" or profile == "auto" and n <= EXACT_MOST:
-            taken, trace = greedy_exact(cover, budget)
+            taken, trace = greedy_streamed(u, targets, np.where(vision, vision_temperature, text_temperature), weight, budget)
         else:
-            taken, trace = greedy_sampled(cover, budget, np.random.default_rng([seed, int(t["video_id"][0])]), epsilon)
+            parts = [dense.softmax(targets[some], u, tau) * weight[some, None] for some, tau in ((~vision, text_temperature), (vision, vision_temperature)) if some.any()]
+            taken, trace = greedy_sampled(np.concatenate(parts), budget, np.random.default_rng([seed, int(t["video_id"][0])]), epsilon)
         return {"pos": t["pos"][taken], "step": np.arange(len(taken)), "objective": trace}
 
     return dense.per_pair(tokens.select("video_id", "pos", "vec"), core.unionByName(text), ["video_id"], (["pos"], ["vision", "qpos"]), f, "video_id long, pos long, step long, objective double")

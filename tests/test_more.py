@@ -181,3 +181,27 @@ def test_seeds_and_metadata(spark):
     assert kitoke.seed_of(1, "a") == kitoke.seed_of("1", "a") != kitoke.seed_of(1, "b") and 0 <= kitoke.seed_of("x") < 1 << 63
     row = records.run_metadata(spark, ratio=0.25).first()
     assert row.ratio == "0.25" and row.python_version and row.commit
+
+
+def test_streamed_coverage_takes_what_the_whole_matrix_takes(monkeypatch):
+    import tracemalloc
+
+    from tessera.operators import dense
+    from tessera.plans import mmtok
+
+    monkeypatch.setattr(mmtok, "HELD", 1 << 15)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    for vec, budget in ((x, 225), (x[rng.integers(0, 60, 900)], 300), (np.ones((50, 6)), 20)):
+        u, q, n = dense.unit(vec), dense.unit(rng.normal(size=(3, 6))), len(vec)
+        cover = np.concatenate([dense.softmax(q, u, 0.1) / 3, dense.softmax(u, u, 0.2) * 0.5 / n])
+        tracemalloc.start()
+        taken, trace = mmtok.greedy_streamed(u, np.concatenate([q, u]), np.repeat([0.1, 0.2], [3, n]), np.repeat([1 / 3, 0.5 / n], [3, n]), budget)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 2_000_000 < 8 * 900 * 900
+        expected, objective = mmtok.greedy_exact(cover, budget)
+        assert taken.tolist() == expected.tolist() and np.allclose(trace, objective, atol=1e-12)
+    few = dense.unit(x[:4])  # rows that soon gain nothing more
+    taken, _ = mmtok.greedy_streamed(dense.unit(x), few, np.full(4, 0.2), np.full(4, 0.25), 40)
+    assert taken.tolist() == mmtok.greedy_exact(dense.softmax(few, dense.unit(x), 0.2) / 4, 40)[0].tolist()
