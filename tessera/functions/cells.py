@@ -21,31 +21,45 @@ def largest(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("rows_")).first()[0] or 0
 
 
+def hot_cuts(df: DataFrame, keys: list[str], order: str, rows: int, most: int) -> DataFrame:
+    """(…keys, cuts_) of the keys of more than ``rows`` rows.  Made here and now, so that all that goes by them has the same."""
+    n = -(-most // rows)
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 20 * n)))).alias("cuts_")
+    hot = df.groupBy(*keys).agg(F.count("*").alias("rows_"), cuts).where(F.col("rows_") > rows).drop("rows_")
+    return df.sparkSession.createDataFrame(hot.toArrow(), hot.schema)
+
+
 def dealt(df: DataFrame, keys: list[str], order: str, out: str, rows: int = CELL_ROWS, most: int | None = None) -> DataFrame:
     """``df`` with ``out``: the run of the row within its key, by quantiles of ``order``.
 
     ``most``: a bound of the rows of a key, where it is known.  Only keys of more than ``rows`` rows have several runs; they are at most as many as
     the whole table holds times ``rows``, so their cuts are broadcast.  Equal values are of one run.
     """
-    n = -(-(largest(df, keys) if most is None else most) // rows)
-    if n < 2:
+    most = largest(df, keys) if most is None else most
+    if most <= rows:
         return df.withColumn(out, F.lit(0))
-    cuts = F.array_sort(F.array_distinct(F.percentile_approx(order, [i / n for i in range(1, n)], max(10_000, 20 * n)))).alias("cuts_")
+    hot = hot_cuts(df, keys, order, rows, most)
     if not keys:
-        found = df.agg(cuts).first()[0] or []
-        return df.withColumn(out, at_or_below(F.array(*(F.lit(c) for c in found)), F.col(order), n))
-    hot = df.groupBy(*keys).agg(F.count("*").alias("rows_"), cuts).where(F.col("rows_") > rows).drop("rows_")
-    return df.join(F.broadcast(hot), keys, "left").withColumn(out, at_or_below(F.col("cuts_"), F.col(order), n)).drop("cuts_")
+        found = next((r.cuts_ for r in hot.collect()), None) or []
+        return df.withColumn(out, at_or_below(F.array(*(F.lit(c) for c in found)), F.col(order), -(-most // rows)))
+    return df.join(F.broadcast(hot), keys, "left").withColumn(out, at_or_below(F.col("cuts_"), F.col(order), -(-most // rows))).drop("cuts_")
 
 
-def running(df: DataFrame, keys: list[str], order: str, weight: str, out: str, rows: int = CELL_ROWS, most: int | None = None) -> DataFrame:
-    """``df`` (one row for each key and value of ``order``) with ``out``: the sum of ``weight`` over lower values."""
-    most = largest(df, keys) if most is None else most
+def running(df: DataFrame, keys: list[str], order: str, weight: str, out: str, rows: int = CELL_ROWS, most: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """``df`` (one row for each key and value of ``order``) with ``out``: the sum of ``weight`` over lower values.
+
+    ``source``: the rows that ``weight`` counts, where it does.  Cuts and sums of the runs then come from reading these, and ``df`` is made once.
+    """
+    source = df if source is None else source.withColumn(weight, F.lit(1).cast("long"))
+    most = largest(source, keys) if most is None else most
     below = lambda *by: F.coalesce(F.sum(weight).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if most <= rows:
         return df.withColumn(out, below(*keys))
-    x = dealt(df, keys, order, "cell_", rows, most)
-    sums = x.groupBy(*keys, "cell_").agg(F.sum(weight).alias("sum_"))
+    hot = hot_cuts(source, keys, order, rows, most)
+    cell = at_or_below(F.col("cuts_"), F.col(order), -(-most // rows))
+    join = lambda x, how: x.join(F.broadcast(hot), keys, how) if keys else x.crossJoin(F.broadcast(hot))
+    sums = join(source, "inner").groupBy(*keys, cell.alias("cell_")).agg(F.sum(weight).alias("sum_"))
     before = F.coalesce(F.sum("sum_").over(Window.partitionBy(*keys).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.join(sums.select(*keys, "cell_", before.alias("before_")), [*keys, "cell_"])
-    return x.withColumn(out, F.col("before_") + below(*keys, "cell_")).drop("cell_", "before_")
+    x = join(df, "left").withColumn("cell_", cell).drop("cuts_")
+    x = x.join(F.broadcast(sums.select(*keys, "cell_", before.alias("before_"))), [*keys, "cell_"], "left")
+    return x.withColumn(out, F.coalesce("before_", F.lit(0)) + below(*keys, "cell_")).select(*df.columns, out)

@@ -205,3 +205,19 @@ def test_streamed_coverage_takes_what_the_whole_matrix_takes(monkeypatch):
     few = dense.unit(x[:4])  # rows that soon gain nothing more
     taken, _ = mmtok.greedy_streamed(dense.unit(x), few, np.full(4, 0.2), np.full(4, 0.25), 40)
     assert taken.tolist() == mmtok.greedy_exact(dense.softmax(few, dense.unit(x), 0.2) / 4, 40)[0].tolist()
+
+
+def test_rows_over_several_cells_need_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(g, int(a), int(b), i) for i, (g, a, b) in enumerate(zip(rng.choice(["p", "q", None], 600), rng.integers(0, 400, 600), rng.integers(0, 15, 600)))]
+    x = spark.createDataFrame(rows, "g string, a long, b long, i long")
+    whole = statistics.concentration(x, ["g"], "a", "i", "b").orderBy("g").collect()
+    for module in (cells, statistics):
+        monkeypatch.setattr(module, "CELL_ROWS", 50)
+    dealt = statistics.concentration(x, ["g"], "a", "i", "b")
+    for one, two in zip(whole, dealt.orderBy("g").collect(), strict=True):
+        assert one.g == two.g and list(one)[1:] == pytest.approx(list(two)[1:])
+    # Rows are exchanged by value, to be counted, and by the column with more values; pairs are not.
+    found = statistics.spearman(x, ["g"], "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in found.splitlines() if "Aggregate [" in line]
+    assert keys and not any(("a#" in k or "x_#" in k) and ("b#" in k or "y_#" in k) for k in keys)
