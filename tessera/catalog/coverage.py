@@ -269,9 +269,8 @@ def kitoke_merged_vectors(spark, d):
 @query(sql(_ASSIGN, f"SELECT video_id, pos, rep, 'none' AS mode, {r('CASE WHEN pos = rep THEN 1 ELSE 0 END', 'weight')} FROM assigned UNION ALL SELECT video_id, pos, rep, 'uniform', {r('1 / count(*) OVER (PARTITION BY video_id, rep)', 'weight')} FROM assigned"))
 def kitoke_other_weights(spark, d):
     t, div, spans, chosen = _kitoke(spark, d)
-    assigned = kitoke.assignments(t, spans, chosen)
-    x = [kitoke.merge_weights(assigned, div, m).withColumn("mode", F.lit(m)) for m in ("none", "uniform")]
-    return out(x[0].unionByName(x[1]), "video_id", "pos", "rep", "mode", rounded=("weight",))
+    x = kitoke.weights_by_mode(kitoke.assignments(t, spans, chosen), div, ["none", "uniform"])
+    return out(x, "video_id", "pos", "rep", "mode", rounded=("weight",))
 
 
 @query(sql(_TSTM, f"""SELECT video_id, root, d::BIGINT AS d, {r('avg(v)', 'v')} FROM

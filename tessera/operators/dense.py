@@ -21,7 +21,7 @@ def matrix(column) -> np.ndarray:
     """A list column as rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 0))
+    return flat.reshape(len(column), -1).astype(float, copy=False) if len(column) else np.zeros((0, 0))
 
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
@@ -83,9 +83,11 @@ def unit(x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), eps)
 
 
-def blocks(n: int):
-    for a in range(0, n, BLOCK):
-        yield slice(a, min(n, a + BLOCK))
+def blocks(n: int, wide: int = BLOCK):
+    """Runs of n rows, at most ``BLOCK`` of them and ``BLOCK`` squared entries of rows of ``wide``."""
+    step = max(1, min(BLOCK, BLOCK * BLOCK // max(1, wide)))
+    for a in range(0, n, step):
+        yield slice(a, min(n, a + step))
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

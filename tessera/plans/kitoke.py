@@ -149,7 +149,7 @@ def assignments(tokens: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataF
     def f(t, r):
         if not len(r["rep"]):
             return {"video_id": [], "pos": [], "rep": []}
-        best = np.concatenate([r["rep"][np.argmax(t["u"][s] @ r["v"].T, axis=1)] for s in dense.blocks(len(t["pos"]))])
+        best = np.concatenate([r["rep"][np.argmax(t["u"][s] @ r["v"].T, axis=1)] for s in dense.blocks(len(t["pos"]), len(r["rep"]))])
         own = np.isin(t["pos"], r["rep"])
         return {"pos": t["pos"], "rep": np.where(own, t["pos"], best)}
 
@@ -158,11 +158,18 @@ def assignments(tokens: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataF
 
 def merge_weights(assigned: DataFrame, div: DataFrame, mode: str = "diversity") -> DataFrame:
     """(video_id, pos, rep, weight): weights of the tokens of a representative, which sum to 1."""
-    if mode not in ("diversity", "uniform", "none"):
-        raise ValueError(f"unsupported merge mode: {mode}")
-    raw = {"diversity": F.col("diversity"), "uniform": F.lit(1.0), "none": (F.col("pos") == F.col("rep")).cast("double")}[mode]
-    x = assigned.join(div.select("video_id", "pos", "diversity"), ["video_id", "pos"]).withColumn("raw", raw)
-    return x.join(x.groupBy("video_id", "rep").agg(F.sum("raw").alias("mass")), ["video_id", "rep"]).select("video_id", "pos", "rep", (F.col("raw") / F.col("mass")).alias("weight"))
+    return weights_by_mode(assigned, div, [mode]).drop("mode")
+
+
+def weights_by_mode(assigned: DataFrame, div: DataFrame, modes: list[str]) -> DataFrame:
+    """(video_id, pos, rep, weight, mode) of all these modes, from one pass over the assignments."""
+    raw = {"diversity": F.col("diversity") if "diversity" in modes else None, "uniform": F.lit(1.0), "none": (F.col("pos") == F.col("rep")).cast("double")}
+    if unknown := set(modes) - set(raw):
+        raise ValueError(f"unsupported merge mode: {', '.join(sorted(unknown))}")
+    x = assigned.join(div.select("video_id", "pos", "diversity"), ["video_id", "pos"]) if "diversity" in modes else assigned
+    x = x.select("video_id", "pos", "rep", F.inline(F.array(*(F.struct(F.lit(m).alias("mode"), raw[m].alias("raw")) for m in modes))))
+    mass = F.sum("raw").over(Window.partitionBy("video_id", "rep", "mode"))
+    return x.select("video_id", "pos", "rep", (F.col("raw") / mass).alias("weight"), "mode")
 
 
 def merged(tokens: DataFrame, weights: DataFrame, dim: int) -> DataFrame:

@@ -221,3 +221,13 @@ def test_rows_over_several_cells_need_no_pairs(spark, monkeypatch):
     found = statistics.spearman(x, ["g"], "a", "b")._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("Aggregate [")[1].split("]")[0] for line in found.splitlines() if "Aggregate [" in line]
     assert keys and not any(("a#" in k or "x_#" in k) and ("b#" in k or "y_#" in k) for k in keys)
+
+
+def test_weights_of_all_modes_assign_once(spark, data):
+    from tessera.catalog import coverage
+    from tessera.operators import dense
+
+    plan = coverage.kitoke_other_weights(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rep#") and sum("FlatMapCoGroups" in line and "rep#" in line for line in plan.splitlines()) == 1
+    assert max((s.stop - s.start) * 50_000 for s in dense.blocks(3000, 50_000)) <= dense.BLOCK**2
+    assert [s.stop for s in dense.blocks(3000, 50)] == [1024, 2048, 3000]
